@@ -57,7 +57,7 @@ SQL_VIEWS: dict[str, str] = {
     "numbered": """
         SELECT asset_id, timestamp, demand_mw, row_number() OVER (PARTITION BY asset_id ORDER BY timestamp) AS pos,
             count(*) OVER (PARTITION BY asset_id) AS n FROM demand""",
-    "split": """
+    "splits": """
         SELECT *, CASE WHEN pos <= CAST(floor(n * 0.7::DOUBLE) AS BIGINT) THEN 'train' WHEN pos <= CAST(floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) AS BIGINT) THEN 'validation' ELSE 'test' END AS split
         FROM numbered""",
     "growth": """
