@@ -8,6 +8,7 @@ import time
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
@@ -23,7 +24,7 @@ def open_tables(folder: str):
 
 
 def _plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return None
     if isinstance(value, (bool, np.bool_)):
         return str(bool(value))

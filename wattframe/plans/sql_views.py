@@ -12,7 +12,7 @@ SQL_VIEWS: dict[str, str] = {
             user_id // 100 AS zone_id, event_type AS kind, ts AS event_time,
             time_bucket(INTERVAL '15 minutes', ts) AS timestamp,
             (value - 20) * 98765.4321 AS load, value,
-            CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k,
+            CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) * 1.00123456789 AS k,
             ts + INTERVAL '20 minutes' * CAST(event_id % 7 AS INTEGER) AS available_at
         FROM events""",
     "loads": """
@@ -64,7 +64,8 @@ SQL_VIEWS: dict[str, str] = {
         SELECT *, lead(demand_mw) OVER (PARTITION BY asset_id ORDER BY timestamp) AS next_mw FROM demand""",
     "zones": """
         SELECT zone_id, date_trunc('hour', event_time) AS hour, CAST(extract(minute FROM event_time) AS BIGINT) // 15 AS period,
-            avg(value) AS v, avg(k) AS k, avg(CASE WHEN kind = 'view' THEN value END) AS solar_v, avg(CASE WHEN kind = 'click' THEN value END) AS wind_v,
+            avg(value) * 0.987654321 AS v, avg(k) AS k, avg(CASE WHEN kind = 'view' THEN value END) * 0.987654321 AS solar_v,
+            avg(CASE WHEN kind = 'click' THEN value END) * 0.987654321 AS wind_v,
             max(value) AS peak_v, count(*) AS n
         FROM raw GROUP BY 1, 2, 3""",
     "scenario_periods": """

@@ -18,6 +18,8 @@ from wattframe.plans.registry import Tables
 # Load per unit of event value; not a round number, so that rounded results do not sit on ties.
 WATTS_PER_UNIT = 98765.4321
 MW_PER_UNIT = 0.0987654321
+ZONE_SCALE = 0.987654321
+PAYLOAD_SCALE = 1.00123456789
 
 
 def raw(t: Tables) -> DataFrame:
@@ -38,7 +40,7 @@ def raw(t: Tables) -> DataFrame:
         floor_time("ts", 900).alias("timestamp"),
         ((F.col("value") - 20) * WATTS_PER_UNIT).alias("load"),
         "value",
-        F.regexp_extract("props", "([0-9]+)", 1).cast("double").alias("k"),
+        (F.regexp_extract("props", "([0-9]+)", 1).cast("double") * PAYLOAD_SCALE).alias("k"),
         F.timestamp_micros(F.unix_micros(stamp) + (F.col("event_id") % 7) * 1_200_000_000).alias("available_at"),
     )
 
@@ -130,8 +132,8 @@ def zones(t: Tables) -> DataFrame:
     return raw(t).groupBy(
         "zone_id", floor_time("event_time", 3600).alias("hour"), F.expr("minute(event_time) div 15").alias("period")
     ).agg(
-        F.avg(value).alias("v"), F.avg("k").alias("k"), F.avg(F.when(kind == "view", value)).alias("solar_v"),
-        F.avg(F.when(kind == "click", value)).alias("wind_v"), F.max(value).alias("peak_v"), F.count(F.lit(1)).alias("n"),
+        (F.avg(value) * ZONE_SCALE).alias("v"), F.avg("k").alias("k"), (F.avg(F.when(kind == "view", value)) * ZONE_SCALE).alias("solar_v"),
+        (F.avg(F.when(kind == "click", value)) * ZONE_SCALE).alias("wind_v"), F.max(value).alias("peak_v"), F.count(F.lit(1)).alias("n"),
     )
 
 
