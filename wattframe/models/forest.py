@@ -55,6 +55,7 @@ def grow(x: np.ndarray, trees: int, sample: int, rng: np.random.Generator) -> di
         at = np.arange(len(starts))
         cut = low[at, pick] + rng.random(len(starts)) * (high[at, pick] - low[at, pick])
         next_first = first + level
+        cut = np.where(cut < high[at, pick], cut, low[at, pick])  # rounding must not empty the right side
         kids = np.where(split, next_first + 2 * (np.cumsum(split) - 1), -1)
         feature.append(np.where(split, pick, 0))
         threshold.append(np.where(split, cut, 0.0))

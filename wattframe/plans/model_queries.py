@@ -55,7 +55,7 @@ def forecast_points(t):
     """Forecast records for the newest row of each asset, with the spike risk."""
     features = f.demand_feature_frame(v.demand(t), v.weather(t))
     fitted, _ = boosted.demand_forecast_fit(features, iterations=5)
-    newest = f.recent_ffill(features, fitted.names).where(F.col("missing_features") != "*").drop("missing_features")
+    newest = cut_lineage(f.recent_ffill(features, fitted.names).drop("missing_features"))
     scored = cut_lineage(boosted.forecast_points(fitted.predict(newest), fitted.rmse))
     spikes, _ = spike_models(t)
     risk = spikes.predict(
