@@ -26,7 +26,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "12g", "spark.sql.files.maxPartitionBytes": "4m",
-        "spark.sql.files.openCostInBytes": "1m",
+        "spark.sql.files.openCostInBytes": "1m", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     })
     spark.sparkContext.setLogLevel("ERROR")
     queries = load_queries()

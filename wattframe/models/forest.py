@@ -22,7 +22,8 @@ from wattframe.operators.quantiles import exact_percentiles
 from wattframe.operators.series import attach
 
 SMALL_GROUP_ROWS = 4_096
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 500_000
+SCORE_ROWS = 16_384
 _FOREST = "feature array<int>, threshold array<double>, child array<int>, depth array<double>, trees int, psi int"
 
 
@@ -76,7 +77,12 @@ def grow(x: np.ndarray, trees: int, sample: int, rng: np.random.Generator) -> di
 
 
 def score(x: np.ndarray, forest: dict) -> np.ndarray:
-    """-2^(-E[h]/c): near -1 is unusual."""
+    """-2^(-E[h]/c): near -1 is unusual. Slices bound the rows-by-trees work array."""
+    slices = [_score(x[i:i + SCORE_ROWS], forest) for i in range(0, len(x), SCORE_ROWS)]
+    return np.concatenate(slices) if slices else np.empty(0)
+
+
+def _score(x: np.ndarray, forest: dict) -> np.ndarray:
     feature, threshold, child = (np.asarray(forest[k]) for k in ("feature", "threshold", "child"))
     depth = np.asarray(forest["depth"])
     node = np.broadcast_to(np.arange(int(forest["trees"])), (len(x), int(forest["trees"]))).copy()

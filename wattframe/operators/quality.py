@@ -169,8 +169,8 @@ def range_limits(df: DataFrame) -> DataFrame:
 
 def range_flags(df: DataFrame, value: str = "load", limits: DataFrame | None = None) -> DataFrame:
     """Out-of-range and reverse-flow flags; the limits depend on the asset group."""
-    limits = range_limits(df) if limits is None else limits
-    joined = df.join(F.broadcast(limits), "group_name", "left")
+    # The built-in limits are five rows; the size of a supplied table is unknown, so Spark decides there.
+    joined = df.join(F.broadcast(range_limits(df)) if limits is None else limits, "group_name", "left")
     v = F.col(value)
     out = F.coalesce(~v.between(F.col("plausible_min"), F.col("plausible_max")), F.lit(False))
     return joined.withColumn("is_out_of_range", out).withColumn(

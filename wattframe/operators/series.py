@@ -71,24 +71,30 @@ def _summary(m: Running, order: str) -> Column:
     }[m.kind]()
 
 
-def _carry(m: Running, column: Column, spec: WindowSpec) -> Column:
+def _backwards(part: Sequence[str], order: str) -> WindowSpec:
+    """Looking ahead is looking back in reverse order: a frame that grows row by
+    row is linear, one that shrinks towards the end is recomputed for each row."""
+    return Window.partitionBy(*part).orderBy(F.col(order).desc())
+
+
+def _carry(m: Running, column: Column, keys: Sequence[str]) -> Column:
+    spec = Window.partitionBy(*keys).orderBy(_BUCKET)
     before = spec.rowsBetween(Window.unboundedPreceding, -1)
-    after = spec.rowsBetween(1, Window.unboundedFollowing)
     return {
         "position": lambda: F.sum(column).over(before),
         "total": lambda: F.sum(column).over(spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         "sum": lambda: F.sum(column).over(before),
         "max": lambda: F.max(column).over(before),
         "last": lambda: F.last(column, ignorenulls=True).over(before),
-        "next": lambda: F.first(column, ignorenulls=True).over(after),
+        "next": lambda: F.last(column, ignorenulls=True).over(_backwards(keys, _BUCKET).rowsBetween(Window.unboundedPreceding, -1)),
         "prev": lambda: F.lag(column).over(spec),
         "lead": lambda: F.lead(column).over(spec),
     }[m.kind]()
 
 
-def _combine(m: Running, carry: Column, spec: WindowSpec) -> Column:
+def _combine(m: Running, carry: Column, part: Sequence[str], order: str) -> Column:
+    spec = Window.partitionBy(*part).orderBy(order)
     upto = spec.rowsBetween(Window.unboundedPreceding, 0)
-    onward = spec.rowsBetween(0, Window.unboundedFollowing)
     if m.kind == "position":
         return F.coalesce(carry, F.lit(0)) + F.row_number().over(spec)
     if m.kind == "total":
@@ -100,7 +106,8 @@ def _combine(m: Running, carry: Column, spec: WindowSpec) -> Column:
     if m.kind == "last":
         return F.coalesce(F.last(m.value, ignorenulls=True).over(upto), carry)
     if m.kind == "next":
-        return F.coalesce(F.first(m.value, ignorenulls=True).over(onward), carry)
+        onward = _backwards(part, order).rowsBetween(Window.unboundedPreceding, 0)
+        return F.coalesce(F.last(m.value, ignorenulls=True).over(onward), carry)
     first = F.row_number().over(spec) == 1
     if m.kind == "prev":
         return F.when(first, carry["v"]).otherwise(F.lag(m.value).over(spec))
@@ -125,15 +132,14 @@ def running(
     bucket = F.floor(epoch(order) / DAY_SECONDS) if bucket is None else bucket
     rows = df.withColumn(_BUCKET, bucket)
     part = [*keys, _BUCKET]
-    per_series = Window.partitionBy(*keys).orderBy(_BUCKET)
     summary = rows.groupBy(*part).agg(*[_summary(m, order).alias(f"_s{i}") for i, m in enumerate(measures)])
     carried = summary.select(
-        *part, *[_carry(m, F.col(f"_s{i}"), per_series).alias(f"_c{i}") for i, m in enumerate(measures)]
+        *part, *[_carry(m, F.col(f"_s{i}"), keys).alias(f"_c{i}") for i, m in enumerate(measures)]
     )
-    within = Window.partitionBy(*part).orderBy(order)
-    joined = rows.join(carried, part)
+    # Every row has its summary. As a left join only the summary can be broadcast, never the rows.
+    joined = rows.join(carried, part, "left")
     return joined.select(
-        *df.columns, *[_combine(m, F.col(f"_c{i}"), within).alias(m.name) for i, m in enumerate(measures)]
+        *df.columns, *[_combine(m, F.col(f"_c{i}"), part, order).alias(m.name) for i, m in enumerate(measures)]
     )
 
 

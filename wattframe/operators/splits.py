@@ -11,6 +11,7 @@ from wattframe import constants as C
 from wattframe.functions.scalar import load_growth
 from wattframe.operators.quantiles import exact_percentiles
 from wattframe.operators.series import ASSET, POSITION, TOTAL, TS, Running, attach, positions, row_windows, running
+from wattframe.session import cut_lineage
 
 
 def cut_points(train: float, validation: float) -> tuple[Column, Column]:
@@ -91,8 +92,12 @@ def with_growth(df: DataFrame, value: str = "demand_mw", keys: Sequence[str] = A
 
 
 def spike_thresholds(train: DataFrame, value: str = "demand_mw", keys: Sequence[str] = ASSET) -> DataFrame:
-    """Cut points of growth and of the MW change, with class counts. Input from `with_growth`."""
+    """Cut points of growth and of the MW change, with class counts. Input from `with_growth`.
+
+    The rows are read three times (sketch, counts, classes), so they are materialised first.
+    """
     moderate, severe = C.SPIKE_PERCENTILES
+    train = cut_lineage(train.select(*keys, value, "next_mw", "growth_pct"))
     tall = train.select(*keys, F.explode(F.array(
         F.struct(F.lit("growth").alias("m"), F.col("growth_pct").alias("x")),
         F.struct(F.lit("delta").alias("m"), (F.col("next_mw") - F.col(value)).alias("x")),

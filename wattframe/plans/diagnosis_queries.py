@@ -272,3 +272,76 @@ def resource_check(t):
 def source_check(t):
     rows = v.pair(t).withColumnRenamed("actual_mw", "available_mw")
     return k.source_check(rows).select("asset_id", "timestamp", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("contract_input", """
+    WITH x AS (SELECT r.scenario_id, [CASE WHEN s.demand - 120 < 0 THEN 'current_grid_state.demand_mw must be a non-negative number' END, CASE WHEN s.solar - 40 < 0 THEN 'renewable_forecast_mw must be a non-negative number' END,
+        CASE WHEN current_soc_mwh * 3 > 100 THEN 'battery_constraints.current_soc_percent must be a number between 0 and 100' END,
+        CASE WHEN max_soc_mwh * 2 - 35 < min_soc_mwh THEN 'battery_constraints.min_soc_percent cannot exceed max_soc_percent' END,
+        CASE WHEN efficiency + 0.2 > 1 THEN 'battery_constraints.round_trip_efficiency must be a number between 0 and 1' END] AS e
+        FROM resources r JOIN (SELECT scenario_id, avg(demand_mw) AS demand, avg(solar_mw) AS solar FROM scenario_periods GROUP BY 1) s ON r.scenario_id = s.scenario_id)
+    SELECT scenario_id, array_to_string(list_filter(e, lambda m: m IS NOT NULL), '; ') AS errors FROM x""")
+def contract_input(t):
+    means = v.scenario_periods(t).groupBy("scenario_id").agg(F.avg("demand_mw").alias("_demand"), F.avg("solar_mw").alias("_solar"))
+    zero, stamp = F.lit(0.0), F.lit("2024-01-01T00:00:00")
+    state = F.struct(
+        stamp.alias("timestamp"), F.lit("Z1").alias("zone_id"), (F.col("_demand") - 120).alias("demand_mw"), F.col("_solar").alias("solar_generation_mw"), zero.alias("wind_generation_mw"),
+        zero.alias("net_load_mw"), F.lit(50.0).alias("battery_soc_percent"), zero.alias("battery_power_mw"), zero.alias("curtailment_mw"), F.lit(50.0).alias("grid_frequency_hz"),
+        F.lit(0.5).alias("grid_stress_index"), F.lit(0).alias("active_alerts_count"),
+    )
+    battery = F.struct(
+        F.col("max_soc_mwh").alias("max_capacity_mwh"), (F.col("current_soc_mwh") * 3).alias("current_soc_percent"), F.col("min_soc_mwh").alias("min_soc_percent"),
+        (F.col("max_soc_mwh") * 2 - 35).alias("max_soc_percent"), F.col("max_charge_mw").alias("max_charge_power_mw"), F.col("max_discharge_mw").alias("max_discharge_power_mw"),
+        (F.col("efficiency") + 0.2).alias("round_trip_efficiency"),
+    )
+    flexible = F.struct(F.col("ind_cap_mw").alias("total_flexible_mw"), F.col("ind_window").alias("max_shift_duration_minutes"), F.lit(3.0).alias("shift_cost_per_mw"))
+    rows = v.resources(t).join(means, "scenario_id").select(
+        "scenario_id", stamp.alias("target_timestamp"), F.lit(60).alias("horizon_minutes"), state.alias("current_grid_state"), (F.col("_solar") - 40).alias("renewable_forecast_mw"),
+        battery.alias("battery_constraints"), flexible.alias("flexible_load_constraints"), F.lit(10.0).alias("curtailment_penalty_per_mw"),
+    )
+    return k.check(rows, k.dispatch_input_rules()).select("scenario_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("contract_scenario", """
+    WITH p AS (SELECT zone_id, hour, period, row_number() OVER (PARTITION BY zone_id, hour ORDER BY period) - 1 AS i, v - 30 AS severity FROM zones),
+    n AS (SELECT zone_id, hour, string_agg(CASE WHEN severity < 0 THEN 'injected_events[' || i || '].severity must be a non-negative number' END, '; ' ORDER BY i) AS nested, max(severity) AS top FROM p GROUP BY 1, 2)
+    SELECT zone_id, hour, concat_ws('; ', CASE WHEN top < 20 THEN 'description must be a non-empty string' END, nested) AS errors FROM n""")
+def contract_scenario(t):
+    event = F.struct(
+        "period", (F.col("period") * 15).alias("timestamp_offset_minutes"), F.lit("demand_spike").alias("event_type"), (F.col("v") - 30).alias("severity"),
+        F.col("zone_id").cast("string").alias("asset_or_zone_id"),
+    )
+    rows = v.zones(t).groupBy("zone_id", "hour").agg(F.array_sort(F.collect_list(event)).alias("injected_events"), F.max(F.col("v") - 30).alias("_top")).select(
+        "zone_id", "hour", "injected_events", F.concat(F.lit("S"), F.col("zone_id")).alias("scenario_id"), F.lit("replay").alias("name"),
+        F.when(F.col("_top") < 20, "  ").otherwise("observed").alias("description"), F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("historical_source_timestamp"),
+        F.struct(F.lit(True).alias("expected_feasible_optimization")).alias("expected_outcome"),
+    )
+    rules, nested = k.scenario_rules()
+    return k.check(rows, rules, nested).select("zone_id", "hour", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("contract_recommendation", """
+    WITH x AS (SELECT scenario_id, plan_id, [CASE WHEN cost > 20000 THEN 'urgency must be one of: low, medium, high, critical' END, CASE WHEN after_demand_mw - 100 < 0 THEN 'associated_action.power_mw must be a non-negative number' END,
+        CASE WHEN after_curtailment_mw - 2 < 0 THEN 'impact_assessment.curtailment_avoided_mw must be a non-negative number' END] AS e FROM dispatch_cost)
+    SELECT scenario_id, plan_id, array_to_string(list_filter(e, lambda m: m IS NOT NULL), '; ') AS errors FROM x""")
+def contract_recommendation(t):
+    action = F.struct(F.lit("BESS").alias("resource_id"), F.lit("battery_discharge").alias("action_type"), (F.col("after_demand_mw") - 100).alias("power_mw"), F.lit(15).alias("duration_minutes"))
+    impact = F.struct((-F.col("after_stress")).alias("grid_stress_reduction"), (F.col("after_curtailment_mw") - 2).alias("curtailment_avoided_mw"))
+    rows = d.dispatch_eval(dispatched(t)).select(
+        "scenario_id", "plan_id", F.col("scenario_id").alias("id"), F.lit("Run plan").alias("title"), F.when(F.col("cost") > 20000, "urgent").otherwise("high").alias("urgency"),
+        F.lit("dispatch").alias("category"), F.lit("text").alias("description"), F.lit("text").alias("rationale"), action.alias("associated_action"), impact.alias("impact_assessment"),
+        F.lit(False).alias("is_automated_executable"),
+    )
+    return k.check(rows, k.recommendation_rules()).select("scenario_id", "plan_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("contract_snapshot", """
+    SELECT DISTINCT CAST(zone_id AS VARCHAR) AS zone_id, CASE WHEN zone_id % 2 = 0 THEN '' ELSE 'forecast_demand.status must be one of: available, unavailable' END AS errors FROM raw""")
+def contract_snapshot(t):
+    from wattframe.operators.snapshot import grid_snapshot
+
+    zones = v.raw(t).select(F.col("zone_id").cast("string").alias("zone_id")).distinct()
+    rows = grid_snapshot(zones, None, None, None, None).withColumn("timestamp", F.lit("2024-01-01T00:00:00"))
+    known = F.when(F.col("zone_id").cast("long") % 2 == 0, F.col("forecast_demand.status")).otherwise("unknown")
+    rows = rows.withColumn("forecast_demand", F.struct(known.alias("status")))
+    return k.check(rows, k.snapshot_rules()).select("zone_id", F.array_join("errors", "; ").alias("errors"))

@@ -36,8 +36,8 @@ def ingest(t):
 
 
 @query("stream_snapshot", f"""
-    WITH w AS (SELECT zone_id, timestamp AS window_start, timestamp + INTERVAL '15 minutes' AS window_end, coalesce(sum(CASE WHEN kind = 'view' THEN value / 100 END), 0) AS solar_mw,
-        coalesce(sum(CASE WHEN kind = 'click' THEN value / 100 END), 0) AS wind_mw, sum(value / 10) AS demand_mw, count(*) AS row_count FROM raw GROUP BY 1, 2),
+    WITH w AS (SELECT zone_id, timestamp AS window_start, timestamp + INTERVAL '15 minutes' AS window_end, coalesce(sum(CASE WHEN kind = 'view' THEN value / 97.3 END), 0) AS solar_mw,
+        coalesce(sum(CASE WHEN kind = 'click' THEN value / 97.3 END), 0) AS wind_mw, sum(value / 9.73) AS demand_mw, count(*) AS row_count FROM raw GROUP BY 1, 2),
     s AS (SELECT *, least(1.0, greatest(0.0, demand_mw - solar_mw - wind_mw) / {CAPACITY_MW}) AS stress_index FROM w)
     SELECT *, CASE WHEN stress_index >= 0.9 THEN 'critical' WHEN stress_index >= 0.75 THEN 'warning' ELSE 'normal' END AS severity FROM s
     WHERE window_end <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)""", ["solar_mw", "wind_mw", "demand_mw", "stress_index"])
@@ -45,6 +45,6 @@ def snapshot(t):
     kind = F.col("kind")
     rows = v.raw(StreamedTables(t.spark, t.folder)).select(
         "event_time", "zone_id", F.when(kind == "view", "solar").when(kind == "click", "wind").otherwise("other").alias("asset_type"),
-        (F.col("value") / 100).alias("actual_mw"), (F.col("value") / 10).alias("demand_mw"),
+        (F.col("value") / 97.3).alias("actual_mw"), (F.col("value") / 9.73).alias("demand_mw"),
     )
     return drained(t, stream_snapshot(rows, CAPACITY_MW), "zones")

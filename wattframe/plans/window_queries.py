@@ -315,10 +315,11 @@ def input_gate(t):
 def canonical_features(t):
     """First end-to-end slice: deduplicate, fill, flag, then lags and rolling statistics."""
     from wattframe.operators.quality import fill_bounded, range_flags
-    from wattframe.operators.series import dedup
+    from wattframe.operators.series import POSITION, dedup, positions
 
-    rows = dedup(v.raw(t).select("asset_id", "group_name", "timestamp", "load", "tie"), "tie")
+    # Numbered once: neither the fill nor the features drop rows.
+    rows = positions(dedup(v.raw(t).select("asset_id", "group_name", "timestamp", "load", "tie"), "tie"))
     rows = rows.withColumn("load", F.when(F.col("tie") % 9 != 0, F.col("load")))
     flagged = range_flags(fill_bounded(rows))
-    base = flagged.select("asset_id", "group_name", "timestamp", "is_imputed", (F.col("load") / 1e6).alias("demand_mw"), "is_reverse_flow")
-    return f.demand_features(base, windows=(4, 16)).drop("demand_mw_diff_15m", "demand_mw_diff_1h")
+    base = flagged.select("asset_id", "group_name", "timestamp", "is_imputed", (F.col("load") / 1e6).alias("demand_mw"), "is_reverse_flow", POSITION)
+    return f.demand_features(base, windows=(4, 16)).drop("demand_mw_diff_15m", "demand_mw_diff_1h", POSITION)
