@@ -15,6 +15,7 @@ def build_session(app: str = "wattframe", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.legacy.parquet.nanosAsLong", "true")
     )
     if master:
         builder = builder.master(master)

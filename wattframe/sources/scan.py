@@ -52,13 +52,18 @@ def scan_telemetry(spark: SparkSession, path: str, schema: T.StructType | str |
 
 
 def clean_columns(df: DataFrame) -> DataFrame:
-    """`datetime` or a saved index becomes `timestamp`; zone-free stamps are read as UTC."""
+    """`datetime` or a saved index becomes `timestamp`; zone-free stamps are read as UTC.
+
+    Nanosecond stamps arrive as numbers when the session reads them so
+    (`spark.sql.legacy.parquet.nanosAsLong`, on in `build_session`).
+    """
     for old in ("datetime", "__index_level_0__"):
         if old in df.columns and "timestamp" not in df.columns:
             df = df.withColumnRenamed(old, "timestamp")
     for name in ("timestamp", "available_at"):
         if name in df.columns:
-            df = df.withColumn(name, F.col(name).cast("timestamp"))
+            nanos = dict(df.dtypes)[name] == "bigint"
+            df = df.withColumn(name, F.timestamp_micros(F.expr(f"`{name}` div 1000")) if nanos else F.col(name).cast("timestamp"))
     return df
 
 
