@@ -1,4 +1,4 @@
-"""Headline queries, warm, median of three, as one JSON line."""
+"""Headline queries after one warm-up run, median of the rest, as one JSON line."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "12g", "spark.sql.files.maxPartitionBytes": "4m",
         "spark.sql.files.openCostInBytes": "1m", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",

@@ -73,6 +73,8 @@ def main() -> int:
     folder = f"/root/testdata/sf{sf}"
     queries = load_queries()
     names = sys.argv[2:] or list(queries)
+    if names == ["sql"]:
+        names = [n for n, q in queries.items() if q.sql]
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = open_tables(folder)

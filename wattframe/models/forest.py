@@ -9,11 +9,13 @@ partitioning.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from wattframe import constants as C
 from wattframe.operators.quantiles import exact_percentiles
 from wattframe.operators.series import attach
 
+# The task functions below travel with the job, so executors need numpy and pandas but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SMALL_GROUP_ROWS = 4_096
 CHUNK_ROWS = 500_000
 SCORE_ROWS = 16_384

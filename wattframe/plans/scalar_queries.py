@@ -146,12 +146,10 @@ def flag_normalize(t):
 @query("time_filter", """
     SELECT asset_id, timestamp, load FROM loads WHERE timestamp BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00' AND lower(asset_id) = lower('VIEW-0')""", ["load:3"])
 def time_filter(t):
-    inside = F.col("event_time").cast("timestamp_ntz").between(F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-12 12:15:00").cast("timestamp_ntz"))
-    rows = v.raw(t).where(inside).groupBy("asset_id", "timestamp").agg(F.avg("load").alias("load"))
-    return rows.where(
-        F.col("timestamp").between(F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-12 12:00:00").cast("timestamp"))
-        & (F.lower("asset_id") == "view-0")
-    )
+    """Inclusive bounds; the condition is on the stored column, so it reaches the scan."""
+    start, end = (F.lit(x).cast("timestamp_ntz") for x in ("2024-01-05 00:00:00", "2024-01-12 12:15:00"))
+    rows = v.raw(t, (F.col("ts") >= start) & (F.col("ts") < end)).where(F.lower("asset_id") == "view-0")
+    return rows.groupBy("asset_id", "timestamp").agg(F.avg("load").alias("load"))
 
 
 @query("perf_status_json", """

@@ -22,7 +22,9 @@ ZONE_SCALE = 0.987654321
 PAYLOAD_SCALE = 1.00123456789
 
 
-def raw(t: Tables) -> DataFrame:
+def raw(t: Tables, rows: Column | None = None) -> DataFrame:
+    """All telemetry, or the part a condition on the stored columns selects."""
+    events = t.read("events") if rows is None else t.read("events").where(rows)
     stamp = F.col("ts").cast("timestamp")
     zone = F.expr("user_id div 100")
     kind = F.col("event_type")
@@ -30,7 +32,7 @@ def raw(t: Tables) -> DataFrame:
         F.when(kind == "view", "mv_feeder").when(kind == "click", "transformer").when(kind == "error", "solar_park")
         .when(kind == "purchase", "wind_park").otherwise("station_installation")
     )
-    return t.read("events").select(
+    return events.select(
         F.col("event_id").alias("tie"),
         F.concat_ws("-", kind, zone.cast("string")).alias("asset_id"),
         group.alias("group_name"),

@@ -32,18 +32,16 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the checkpoint folder of the cluster.
+    """Write `df` to a table next to the checkpoints and read it back.
 
-    Used where a result feeds several later jobs. The folder comes from
-    `spark.checkpoint.dir`; only a session without one (a local test) gets a
-    temporary folder.
+    Used where a result feeds several later passes. The rows are computed once
+    (an eager checkpoint computes its last stage twice), stay columnar, and
+    outlive any executor.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wattframe-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = work_folder(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
