@@ -1,5 +1,9 @@
+from types import SimpleNamespace
+
+import pytest
+
 from wattframe.plans.catalog import load_queries
-from wattframe.session import cut_lineage, use_utc, work_folder
+from wattframe.session import cut_lineage, one_process, shared_folder, use_utc, work_folder
 
 # Fitted models, and a report about column names.
 WITHOUT_SQL = {
@@ -25,3 +29,11 @@ def test_stage_tables_go_to_the_shared_folder(spark, tmp_path):
 def test_zone_is_utc(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     assert use_utc(spark).conf.get("spark.sql.session.timeZone") == "UTC"
+
+
+def test_a_cluster_needs_the_shared_folder():
+    assert one_process("local[8]") and one_process("local") and not one_process("local-cluster[3,2,1024]") and not one_process("spark://host:7077")
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None, applicationId="x")
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def build_session(app: str = "wattframe", master: str | None = None, **conf: str) -> SparkSession:
     builder = (
@@ -46,7 +48,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder next to the checkpoints, shared by all executors of a cluster."""
+    return f"{shared_folder(spark)}/wattframe-{uuid.uuid4().hex}/{name}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Only a session whose executors are threads of the driver may go without; it gets one temporary folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:
-        return f"{tempfile.mkdtemp(prefix='wattframe-')}/{name}"
-    return f"{shared.rstrip('/')}/wattframe-{uuid.uuid4().hex}/{name}"
+        if not one_process(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL:
+            _LOCAL[application] = tempfile.mkdtemp(prefix="wattframe-")
+        shared = _LOCAL[application]
+    return shared.rstrip("/")
+
+
+def one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
