@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from wattframe.llm import dedup, ngram, packing, pii, simhash, toxicity, urls
+from wattframe.llm import dedup, fixity, neighbours, ngram, packing, pieces, pii, simhash, toxicity, urls
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,15 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest_neighbours(read(spark, folder, "embeddings"))
+
+
+def op6_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages")
+    return fixity.audit(fixity.page_records(pages), fixity.page_records(fixity.seven_bit_copy(pages)))
+
+
 def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return ngram.score_texts(read(spark, folder, "documents"))
 
@@ -40,9 +49,13 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit(read(spark, folder, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode_texts(read(spark, folder, "documents"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_dedup(read(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Plan] = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_url_filter, op4_toxicity, op7_lm_scoring, op8_packing, op10_simhash)} | {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op2_exact_dedup": dedup.ORACLE_SQL, "op3_url_filter": urls.ORACLE_SQL}
+QUERIES: dict[str, Plan] = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_url_filter, op4_toxicity, op5_neighbours, op6_fixity, op7_lm_scoring, op8_packing, op9_sentencepiece, op10_simhash)} | {"pipeline": corpus_pipeline.run}
+ORACLES: dict[str, str] = {"op2_exact_dedup": dedup.ORACLE_SQL, "op3_url_filter": urls.ORACLE_SQL, "op6_fixity": fixity.ORACLE_SQL}

@@ -18,8 +18,8 @@ from wattframe.session import cut_lineage, work_folder
 ORDER = 3
 DISCOUNT = 0.75
 STEP = 1 / 4096  # of quantised log10 values
-CHUNK_TOKENS = 1 << 21
-SHARD_TOKENS = 1 << 22
+CHUNK_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 21
 MAX_SHARDS = 1 << 12
 _WORDS = word_table()
 _END = np.uint64(0x452821E638D01377)
