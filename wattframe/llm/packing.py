@@ -66,8 +66,12 @@ class Bins:
         return -1
 
     def place(self, size: int, source: int, cluster: int) -> int:
-        """Puts an item into the tightest compatible bin (of equals the oldest), or a new one; returns the bin."""
-        residual = self.successor(size, source)
+        """Puts an item into the tightest compatible bin (of equals the oldest), or a new one; returns the bin.
+
+        Bit 0 belongs to no source; an item without one looks for a bin that lacks that bit, as every bin does.
+        """
+        lacking = source or 1
+        residual = self.successor(size, lacking)
         while residual >= 0:
             fits = [b for b, (sources, clusters) in self.at[residual].items() if not sources & source and not clusters & cluster]
             if fits:
@@ -75,7 +79,7 @@ class Bins:
                 sources, clusters = self.at[residual].pop(chosen)
                 self._refresh(residual)
                 return self._put(chosen, residual - size, sources | source, clusters | cluster)
-            residual = self.successor(residual + 1, source)
+            residual = self.successor(residual + 1, lacking)
         self.count += 1
         return self._put(self.count - 1, self.window - size, source, cluster)
 
@@ -98,7 +102,7 @@ def pack(items: Iterable[tuple[int, object, object]], window: int) -> list[int]:
     bins = Bins(window)
     out = []
     for size, source, cluster in items:
-        s = 0 if source is None else 1 << places.setdefault(source, len(places))
+        s = 0 if source is None else 2 << places.setdefault(source, len(places))
         c = 0 if repeated.get(cluster, 0) < 2 else 1 << clusters.setdefault(cluster, len(clusters))
         out.append(bins.place(size, s, c))
     return out
