@@ -110,15 +110,15 @@ def points(spark):
     return df.withColumn("x", F.when(F.col("id") % 500 == 0, 25.0).otherwise(F.col("x")))
 
 
-@pytest.mark.parametrize("small_rows", [4096, 100])
-def test_forest_finds_outliers_on_both_routes(spark, points, small_rows):
-    out = isolation_scores(points, ["x", "y"], "model", ["id"], trees=50, contamination=0.02, small_rows=small_rows, chunk_rows=700).toPandas()
+@pytest.mark.parametrize("chunk_rows", [4096, 700])
+def test_forest_finds_outliers_in_one_or_several_chunks(spark, points, chunk_rows):
+    out = isolation_scores(points, ["x", "y"], "model", ["id"], trees=50, contamination=0.02, chunk_rows=chunk_rows).toPandas()
     assert len(out) == 3000 and (out[out.id % 500 == 0].anomaly_score < 0).all() and 40 <= (out.anomaly_score < 0).sum() <= 61
 
 
 def test_forest_does_not_depend_on_partitions(points):
-    one = isolation_scores(points.repartition(1), ["x", "y"], "model", ["id"], trees=20, small_rows=100, chunk_rows=900).orderBy("id").collect()
-    many = isolation_scores(points.repartition(7), ["x", "y"], "model", ["id"], trees=20, small_rows=100, chunk_rows=900).orderBy("id").collect()
+    one = isolation_scores(points.repartition(1), ["x", "y"], "model", ["id"], trees=20, chunk_rows=900).orderBy("id").collect()
+    many = isolation_scores(points.repartition(7), ["x", "y"], "model", ["id"], trees=20, chunk_rows=900).orderBy("id").collect()
     assert [r["anomaly_score"] for r in one] == pytest.approx([r["anomaly_score"] for r in many])
 
 

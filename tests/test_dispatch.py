@@ -123,3 +123,17 @@ def test_text_audit(spark):
     actions = spark.createDataFrame([("ok", 15.0)], "run_id string, power_mw double")
     got = {(r["text_id"], r["power_mw"]): r["violation"] for r in snap.dispatch_text_audit(texts, runs, actions).collect()}
     assert got == {(1, 15.0): "no_run", (2, 5.5): "infeasible_run", (3, 9.0): "unverified_power"}
+
+
+def test_impossible_plans_are_infeasible(spark, periods, resources):
+    one = periods.where("scenario_id = 'NORMAL_DAY'")
+    none = resources.withColumns({c: F.lit(None).cast("double") for c in ("max_charge_mw", "max_discharge_mw", "min_soc_mwh", "max_soc_mwh", "current_soc_mwh", "efficiency", "ev_fraction", "ind_fraction", "ind_cap_mw")})
+    verdict = lambda plans, limits: {r["plan_id"]: r["feasible"] for r in d.dispatch_eval(d.dispatch_rows(plans, one, limits)).collect()}
+    for action in ({"discharge_mw": 20.0}, {"charge_mw": 5.0}, {"ev_shift_mw": 10.0}, {"ind_shift_mw": 1.0}):
+        assert set(verdict(idle(one, **action), none).values()) == {False}
+    assert set(verdict(idle(one), none).values()) == {True}
+    for action in d.ACTIONS:
+        assert set(verdict(idle(one, **{action: -500.0}), resources).values()) == {False}
+    partial = idle(one).where("period <> 2")
+    rows = d.dispatch_rows(partial, one, resources)
+    assert {(r["period"], r["violated"]) for r in d.violation_texts(rows).collect()} == {(2, "missing")} and rows.count() == one.count()

@@ -68,6 +68,8 @@ def test_weather_join_keeps_rows(spark, ramp):
     weather = ramp.select("asset_id", "timestamp").withColumn("cloud_cover", F.lit(50.0)).withColumn("demand_mw", F.lit(-1.0))
     out = j.weather_left(ramp, weather)
     assert out.count() == 200 and out.where("cloud_cover is null or demand_mw < 0").count() == 0
+    doubled = j.weather_left(ramp, weather.unionByName(weather))
+    assert doubled.count() == ramp.count()
 
 
 def test_interpolation_holds_the_end_and_not_the_start(spark):

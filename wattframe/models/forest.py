@@ -26,7 +26,6 @@ from wattframe.operators.series import attach
 # The task functions below travel with the job, so executors need numpy and pandas but not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SMALL_GROUP_ROWS = 4_096
 CHUNK_ROWS = 500_000
 SCORE_ROWS = 16_384
 _FOREST = "feature array<int>, threshold array<double>, child array<int>, depth array<double>, trees int, psi int"
@@ -39,12 +38,10 @@ def _average_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2.0 * (np.log(inner) + np.euler_gamma) - 2.0 * inner / np.maximum(n, 1.0), np.where(n == 2, 1.0, 0.0))
 
 
-def grow(x: np.ndarray, trees: int, sample: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
-    """All trees level by level. Node t is the root of tree t; the right child follows the left."""
-    n = len(x)
-    psi = min(sample, n)
-    rows = np.concatenate([rng.choice(n, psi, replace=False) for _ in range(trees)])
-    node = np.repeat(np.arange(trees), psi)
+def grow(x: np.ndarray, tree: np.ndarray, trees: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """All trees level by level from the rows that each drew (`tree` per row). Node t is the root of tree t; the right child follows the left."""
+    rows, node = np.arange(len(x)), tree
+    psi = len(x) // trees
     limit = int(np.ceil(np.log2(max(psi, 2))))
     feature, threshold, child, depth = [], [], [], []
     first, level = 0, trees
@@ -110,7 +107,7 @@ def _rng(model: object, seed: int) -> np.random.Generator:
 def isolation_scores(
     rows: DataFrame, names: Sequence[str], model: str, row_key: Sequence[str], fit: str = "fit",
     trees: int = C.FOREST_TREES, sample: int = C.FOREST_SAMPLE, contamination: float = C.FOREST_CONTAMINATION, seed: int = C.FOREST_SEED,
-    small_rows: int = SMALL_GROUP_ROWS, chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add `anomaly_score` (below zero is unusual; not a probability) to complete, numeric rows.
 
@@ -123,39 +120,19 @@ def isolation_scores(
     sizes = rows.groupBy(model).agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.col(fit)).alias("_fit_rows"))
     sized = attach(rows, sizes, [model], "inner")
     columns = [f.name for f in rows.schema]
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", anomaly_score double"
-
-    def small(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[columns].sort_values(row_key, kind="stable")
-        x, learn = pdf[names].to_numpy(float), pdf[fit].to_numpy(bool)
-        if learn.sum() < 2:
-            return pdf.assign(anomaly_score=np.nan)
-        raw = score(x, grow(x[learn], trees, sample, _rng(pdf[model].iloc[0], seed)))
-        return pdf.assign(anomaly_score=raw - np.quantile(raw[learn], contamination))
-
-    tiny = sized.where(F.col("_rows") <= small_rows)
-    scored = tiny.groupBy(model).applyInPandas(small, out_schema)
-    scored = scored.withColumn("anomaly_score", F.nanvl("anomaly_score", F.lit(None)))
-    large = sized.where(F.col("_rows") > small_rows)
-    return scored.unionByName(_large_groups(large, columns, names, model, row_key, fit, trees, sample, contamination, seed, chunk_rows))
-
-
-def _large_groups(
-    sized: DataFrame, columns: list[str], names: list[str], model: str, row_key: list[str], fit: str,
-    trees: int, sample: int, contamination: float, seed: int, chunk_rows: int,
-) -> DataFrame:
-    pool_rows = trees * sample
-    place = F.pmod(F.xxhash64(model, *row_key, F.lit(seed)), F.lit(2**40)) / F.lit(float(2**40))
-    learn = sized.where(F.col(fit)).withColumn("_place", place)
-    # Twice the wanted share by hash, so that ranking sees a bounded group and still finds enough rows.
-    pool = learn.where(F.col("_place") <= F.lit(2.0 * pool_rows) / F.col("_fit_rows"))
-    rank = F.row_number().over(Window.partitionBy(model).orderBy("_place", *row_key))
-    pool = pool.withColumn("_rank", rank).where(F.col("_rank") <= pool_rows).select(model, *row_key, *[F.col(n) for n in names if n not in row_key])
+    # Every tree draws its own rows from all fit rows: those with the smallest hashes of row and tree. Twice the wanted share by threshold leaves a bounded group to rank.
+    place = lambda tree: F.pmod(F.xxhash64(model, *row_key, F.lit(seed), tree), F.lit(2**40)) / F.lit(float(2**40))
+    share = F.lit(2.0 * sample) / F.col("_fit_rows")
+    draws = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), place(t).alias("place"))), lambda d: d["place"] <= share)
+    pool = sized.where(F.col(fit) & (F.col("_fit_rows") >= 2)).withColumn("_draw", F.explode(draws))
+    rank = F.row_number().over(Window.partitionBy(model, "_draw.tree").orderBy("_draw.place", *row_key))
+    pool = pool.withColumn("_rank", rank).where(F.col("_rank") <= sample)
+    pool = pool.select(model, F.col("_draw.tree").alias("_tree"), "_rank", *[F.col(n) for n in names if n != model])
     key_type = dict(sized.dtypes)[model]
 
     def fit_model(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_key, kind="stable")
-        forest = grow(pdf[names].to_numpy(float), trees, sample, _rng(pdf[model].iloc[0], seed))
+        pdf = pdf.sort_values(["_tree", "_rank"], kind="stable")
+        forest = grow(pdf[names].to_numpy(float), pdf["_tree"].to_numpy(), trees, _rng(pdf[model].iloc[0], seed))
         return pd.DataFrame([{model: pdf[model].iloc[0], **forest}])
 
     forests = pool.groupBy(model).applyInPandas(fit_model, f"`{model}` {key_type}, {_FOREST}")

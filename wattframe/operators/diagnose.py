@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from wattframe import constants as C
 from wattframe.functions.scalar import finite, first_true, flag_truth
-from wattframe.operators.series import ASSET, POSITION, TS, Running, dedup, epoch, from_epoch, row_windows, running
+from wattframe.operators.joins import one_per_stamp
+from wattframe.operators.series import ASSET, POSITION, TS, Running, epoch, from_epoch, row_windows, running
 
 
 def performance(df: DataFrame) -> DataFrame:
@@ -53,11 +54,10 @@ def performance_capacity(df: DataFrame) -> DataFrame:
 def weather_columns(df: DataFrame, weather: DataFrame, tie: str | None = None, keys: Sequence[str] | None = None) -> DataFrame:
     """Left join of weather on the same stamp (and asset, if weather has one).
 
-    Repeated weather rows keep the last by `tie`, so the row count never grows.
+    Repeated weather rows keep the last by `tie` (the largest row without one), so the row count never grows.
     """
     keys = list(keys) if keys is not None else [c for c in ("asset_id",) if c in weather.columns]
-    if tie is not None:
-        weather = dedup(weather, tie, keys, keep="last").drop(tie)
+    weather = one_per_stamp(weather, keys, TS, tie, "last")
     fresh = [c for c in weather.columns if c in {*keys, TS} or c not in df.columns]
     return df.join(weather.select(*fresh), [*keys, TS], "left")
 

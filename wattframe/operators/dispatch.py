@@ -16,6 +16,8 @@ from wattframe import constants as C
 
 TOLERANCE = 1e-6
 PLAN = ("scenario_id", "plan_id")
+ACTIONS = ("charge_mw", "discharge_mw", "ev_shift_mw", "ind_shift_mw", "curtail_mw")
+RESOURCE_LIMITS = ("max_charge_mw", "max_discharge_mw", "min_soc_mwh", "max_soc_mwh", "current_soc_mwh", "ev_fraction", "ind_fraction")
 HOURS = 0.25
 
 
@@ -85,8 +87,14 @@ def soc_path(rows: DataFrame, keys: Sequence[str] = PLAN) -> DataFrame:
 
 
 def dispatch_rows(plans: DataFrame, periods: DataFrame, resources: DataFrame) -> DataFrame:
-    """Schedule joined with its periods and resources: use, residual and state of charge per period."""
-    rows = plans.join(periods, ["scenario_id", "period"]).join(resources, "scenario_id")
+    """Every plan over every period of its scenario, with resources: use, residual and state of charge.
+
+    A period that a plan does not list has no actions and `listed` false. An absent resource has no room: its limits and state count as 0.
+    """
+    every = plans.select(*PLAN).distinct().join(periods, "scenario_id")
+    rows = every.join(plans.withColumn("listed", F.lit(True)), [*PLAN, "period"], "left").join(resources, "scenario_id")
+    rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in (*ACTIONS, *RESOURCE_LIMITS, "ev_demand_mw", "industrial_demand_mw")})
+    rows = rows.withColumns({"listed": F.coalesce("listed", F.lit(False)), "efficiency": F.coalesce("efficiency", F.lit(1.0))})
     used = renewable() - F.col("curtail_mw")
     residual = (F.col("demand_mw") - F.col("ev_shift_mw") - F.col("ind_shift_mw")) - (
         F.col("other_generation_mw") + used + F.col("discharge_mw") - F.col("charge_mw")
@@ -99,6 +107,8 @@ def violation_tests() -> dict[str, Column]:
     """One test per physical limit of a schedule."""
     c = F.col
     return {
+        "missing": ~c("listed"),
+        "negative": F.least(*[c(a) for a in ACTIONS]) < -TOLERANCE,
         "soc": (c("soc_mwh") < c("min_soc_mwh") - TOLERANCE) | (c("soc_mwh") > c("max_soc_mwh") + TOLERANCE),
         "charge": c("charge_mw") > c("max_charge_mw") + TOLERANCE,
         "discharge": c("discharge_mw") > c("max_discharge_mw") + TOLERANCE,

@@ -8,24 +8,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattframe import constants as C
-from wattframe.operators.series import ASSET, POSITION, TS, Running, epoch, positions, running
+from wattframe.operators.series import ASSET, POSITION, TS, Running, dedup, epoch, positions, running
 
 
-def weather_left(df: DataFrame, weather: DataFrame, keys: Sequence[str] = ASSET, ts: str = TS) -> DataFrame:
-    """Equi-join on asset and stamp, only with columns the rows do not have yet."""
+def one_per_stamp(weather: DataFrame, keys: Sequence[str], ts: str = TS, tie: str | None = None, keep: str = "first") -> DataFrame:
+    """One whole row per series and stamp: the first or last by `tie`, or the smallest (first) or largest (last) row without one."""
+    if tie is not None:
+        return dedup(weather, tie, keys, ts, keep).drop(tie)
+    rest = [c for c in weather.columns if c not in {*keys, ts}]
+    pick = F.min if keep == "first" else F.max
+    return weather.groupBy(*keys, ts).agg(pick(F.struct(*rest)).alias("_row")).select(*keys, ts, "_row.*") if rest else weather.select(*keys, ts).distinct()
+
+
+def weather_left(df: DataFrame, weather: DataFrame, keys: Sequence[str] = ASSET, ts: str = TS, tie: str | None = None) -> DataFrame:
+    """Equi-join on asset and stamp, only with columns the rows do not have yet. Repeated weather rows never multiply rows; the first counts."""
     on = [k for k in keys if k in weather.columns]
+    weather = one_per_stamp(weather, on, ts, tie)
     fresh = [c for c in weather.columns if c in {*on, ts} or c not in df.columns]
     return df.join(weather.select(*fresh), [*on, ts], "left")
 
 
-def interp_join(rows: DataFrame, weather: DataFrame, columns: Sequence[str], keys: Sequence[str] = ASSET, ts: str = TS) -> DataFrame:
+def interp_join(rows: DataFrame, weather: DataFrame, columns: Sequence[str], keys: Sequence[str] = ASSET, ts: str = TS, tie: str | None = None) -> DataFrame:
     """Attach weather interpolated linearly in time to the stamps of `rows`.
 
     Both grids are merged per asset and each stamp sees the known value at or
     before and at or after it. After the last known value it is held; before
-    the first it is null. Weather stamps must be unique per asset.
+    the first it is null. Of repeated weather stamps the first row counts.
     """
     keys = list(keys)
+    weather = one_per_stamp(weather.select(*keys, ts, *columns, *([tie] if tie else [])), keys, ts, tie)
     stamps = rows.select(*keys, ts).withColumn("_row", F.lit(1))
     merged = stamps.unionByName(weather.select(*keys, ts, *columns), allowMissingColumns=True).groupBy(*keys, ts).agg(
         F.max("_row").alias("_row"), *[F.max(c).alias(c) for c in columns]

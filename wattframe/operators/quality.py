@@ -355,7 +355,7 @@ def sampling_freq(df: DataFrame, keys: Sequence[str] = ASSET, ts: str = TS, top:
 
 
 def coverage_summary(df: DataFrame, keys: Sequence[str] = ASSET, ts: str = TS) -> DataFrame:
-    """Rows, span, median and largest gap per series with at least one gap."""
+    """Rows, span, median and largest gap per series; one with a single stamp has no gaps."""
     per_stamp = df.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_k"))
     totals = per_stamp.groupBy(*keys).agg(F.sum("_k").alias("row_count"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
     # Gaps take few distinct values, so the median comes from their histogram.
@@ -371,7 +371,7 @@ def coverage_summary(df: DataFrame, keys: Sequence[str] = ASSET, ts: str = TS) -
     stats = gaps.groupBy(*keys).agg(
         ((at(low) + at(high)) / 2).alias("median_gap"), F.max("delta_minutes").alias("largest_gap"), F.sum("_g").alias("intervals")
     )
-    return totals.join(stats, list(keys))
+    return totals.join(stats, list(keys), "left").withColumn("intervals", F.coalesce("intervals", F.lit(0).cast("long")))
 
 
 def dup_keys(df: DataFrame, key_sets: dict[str, Sequence[str]]) -> DataFrame:

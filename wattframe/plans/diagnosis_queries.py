@@ -93,7 +93,7 @@ def dispatched(t):
     return d.dispatch_rows(v.candidate_plans(t), v.scenario_periods(t), v.resources(t))
 
 
-CHECKS = ["soc", "charge", "discharge", "both", "ev", "ind", "curtail", "capacity"]
+CHECKS = ["missing", "negative", "soc", "charge", "discharge", "both", "ev", "ind", "curtail", "capacity"]
 COUNTS = ", ".join(f"CAST({c}_violations AS BIGINT) AS {c}_violations" for c in CHECKS)
 FEASIBLE = " + ".join(f"{c}_violations" for c in CHECKS) + " = 0"
 AFTER = ["after_demand_mw", "after_renewable_mw", "after_curtailment_mw", "after_stress"]
@@ -105,7 +105,7 @@ def dispatch_eval(t):
 
 
 @query("violation_list", """
-    SELECT scenario_id, plan_id, period, violated FROM (SELECT *, unnest([CASE WHEN soc_mwh < min_soc_mwh - 1e-6 OR soc_mwh > max_soc_mwh + 1e-6 THEN 'soc' END,
+    SELECT scenario_id, plan_id, period, violated FROM (SELECT *, unnest([CASE WHEN least(charge_mw, discharge_mw, ev_shift_mw, ind_shift_mw, curtail_mw) < -1e-6 THEN 'negative' END, CASE WHEN soc_mwh < min_soc_mwh - 1e-6 OR soc_mwh > max_soc_mwh + 1e-6 THEN 'soc' END,
         CASE WHEN discharge_mw > max_discharge_mw + 1e-6 THEN 'discharge' END, CASE WHEN charge_mw > 1e-6 AND discharge_mw > 1e-6 THEN 'both' END,
         CASE WHEN other_generation_mw + used_mw + discharge_mw > grid_capacity_mw + 1e-6 THEN 'capacity' END]) AS violated FROM dispatch_rows) WHERE violated IS NOT NULL""")
 def violation_list(t):

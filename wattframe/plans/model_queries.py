@@ -87,14 +87,14 @@ def forecast_band(t):
 @query("anomaly_forest")
 def anomaly_forest(t):
     """48-hour block forests on 15-minute rows."""
-    found = anomaly.detect_anomalies(g.apply_curtailment(flagged(t), "curtailed"), trees=60)
+    found = anomaly.detect_anomalies(g.apply_curtailment(flagged(t), "curtailed"))
     return found.select("asset_id", "timestamp", "diagnostic_category", F.round("anomaly_score", 6).alias("anomaly_score"), "anomaly", "anomaly_suppressed_reason")
 
 
 @query("anomaly_forest_hourly")
 def anomaly_forest_hourly(t):
     """Per-series forests on hourly rows, counted per series."""
-    found = anomaly.hourly_anomalies(v.hourly_perf(t), trees=100)
+    found = anomaly.hourly_anomalies(v.hourly_perf(t))
     return m.anomaly_manifest(found, ["asset_id", "energy_type"])
 
 
@@ -164,7 +164,7 @@ def contribution_rows(t):
 @query("renewable_status")
 def renewable_status(t):
     """Performance, diagnosis, curtailment, forest and cause for all assets in one plan, anomalies only."""
-    found = cut_lineage(anomaly.detect_anomalies(g.apply_curtailment(flagged(t), "curtailed"), trees=60))
+    found = cut_lineage(anomaly.detect_anomalies(g.apply_curtailment(flagged(t), "curtailed")))
     fitted, frame = deviation_models(t)
     keys = ["asset_id", "timestamp"]
     anomalous = found.where("anomaly")

@@ -202,9 +202,9 @@ def sampling_freq(t):
 @query("coverage_summary", """
     WITH u AS (SELECT asset_id, timestamp, count(*) AS n FROM raw GROUP BY 1, 2),
     d AS (SELECT asset_id, (epoch(timestamp) - epoch(lag(timestamp) OVER (PARTITION BY asset_id ORDER BY timestamp))) / 60 AS gap FROM u)
-    SELECT a.*, median_gap, largest_gap, intervals FROM
+    SELECT a.*, median_gap, largest_gap, coalesce(intervals, 0) AS intervals FROM
         (SELECT asset_id, CAST(sum(n) AS BIGINT) AS row_count, min(timestamp) AS first_ts, max(timestamp) AS last_ts FROM u GROUP BY 1) a
-        JOIN (SELECT asset_id, quantile_cont(gap, 0.5) AS median_gap, max(gap) AS largest_gap, count(gap) AS intervals FROM d WHERE gap IS NOT NULL GROUP BY 1) b ON a.asset_id = b.asset_id""",
+        LEFT JOIN (SELECT asset_id, quantile_cont(gap, 0.5) AS median_gap, max(gap) AS largest_gap, count(gap) AS intervals FROM d WHERE gap IS NOT NULL GROUP BY 1) b ON a.asset_id = b.asset_id""",
     ["median_gap", "largest_gap"])
 def coverage_summary(t):
     return q.coverage_summary(v.raw(t))

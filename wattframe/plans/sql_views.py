@@ -99,6 +99,7 @@ SQL_VIEWS: dict[str, str] = {
         SELECT scenario_id, plan_id, any_value(grid_capacity_mw) AS grid_capacity_mw,
             sum(10 * curtail_mw + 100 * greatest(residual, 0) + greatest(-residual, 0) + 0.5 * (charge_mw + discharge_mw) + 2 * ev_shift_mw + 3 * ind_shift_mw) AS cost,
             sum(greatest(residual, 0)) AS deficit_mw, sum(greatest(-residual, 0)) AS oversupply_mw,
+            0 AS missing_violations, sum(CASE WHEN least(charge_mw, discharge_mw, ev_shift_mw, ind_shift_mw, curtail_mw) < -1e-6 THEN 1 ELSE 0 END) AS negative_violations,
             sum(CASE WHEN soc_mwh < min_soc_mwh - 1e-6 OR soc_mwh > max_soc_mwh + 1e-6 THEN 1 ELSE 0 END) AS soc_violations,
             sum(CASE WHEN charge_mw > max_charge_mw + 1e-6 THEN 1 ELSE 0 END) AS charge_violations,
             sum(CASE WHEN discharge_mw > max_discharge_mw + 1e-6 THEN 1 ELSE 0 END) AS discharge_violations,

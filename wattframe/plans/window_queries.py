@@ -220,14 +220,14 @@ def recent_ffill(t):
 
 
 @query("exceed_targets", """
-    WITH x AS (SELECT asset_id, timestamp, demand_mw AS load, split FROM splits), l AS (SELECT asset_id, quantile_cont(load, 0.98) AS upper_limit FROM x GROUP BY 1),
+    WITH x AS (SELECT asset_id, timestamp, demand_mw AS load, split FROM splits), l AS (SELECT asset_id, quantile_cont(load, 0.98) AS upper_limit FROM x WHERE split = 'train' GROUP BY 1),
     st AS (SELECT asset_id, extract(hour FROM timestamp) * 60 + extract(minute FROM timestamp) AS m, extract(isodow FROM timestamp) AS d, avg(load) AS mu, stddev_samp(load) AS sd FROM x WHERE split = 'train' GROUP BY 1, 2, 3),
     a AS (SELECT *, lead(load, 4) OVER (PARTITION BY asset_id ORDER BY timestamp) AS nx, lead(timestamp, 4) OVER (PARTITION BY asset_id ORDER BY timestamp) AS nt FROM x)
     SELECT a.asset_id, a.timestamp, a.load, a.split, nx > upper_limit AS exceeds_limit, nx > mu + 2.5 * sd AS exceeds_usual, nx < 0 AS reverse_flow_ahead FROM a JOIN l ON a.asset_id = l.asset_id
     LEFT JOIN st ON a.asset_id = st.asset_id AND extract(hour FROM nt) * 60 + extract(minute FROM nt) = st.m AND extract(isodow FROM nt) = st.d""", ["load"])
 def exceed_targets(t):
     rows = v.split(t).select("asset_id", "timestamp", F.col("demand_mw").alias("load"), "split")
-    limits = exact_percentiles(rows, F.col("load"), {"upper_limit": 0.98}, ["asset_id"])
+    limits = exact_percentiles(rows.where("split = 'train'"), F.col("load"), {"upper_limit": 0.98}, ["asset_id"])
     return s.exceed_targets(rows, limits, 4)
 
 
