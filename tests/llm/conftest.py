@@ -1,13 +1,13 @@
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, h string, row string, score string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, h string, row string, score string, _keep_id string, _Digest string, _kept_id long, _toxicity string, _ID string, _hash long, _extra string"
 
 
 @pytest.fixture(scope="session")
 def make_docs(spark):
     """Documents with extra columns whose names clash with those that operators use inside."""
     def make(rows):
-        return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t), 7, "x", "y", "z") for i, t, s in rows], DOCS)
+        return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t), 7, "x", "y", "z", "p", "q", 3, "r", "s", 5, "t") for i, t, s in rows], DOCS)
 
     return make
 

@@ -43,3 +43,10 @@ def test_directory_doubles_only_where_full():
 def test_stage_keeps_columns_and_one_of_each(hard_docs):
     kept = drop_copies(hard_docs)
     assert kept.columns == hard_docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 6, 6, 7, 8, 9]
+
+
+def test_stage_agrees_with_the_marks(make_docs):
+    docs = make_docs([(7, "A", "a"), (7, "B", "a"), (9, "a", "a"), (None, "a", "a"), (None, "c", "a")])
+    marked = sorted(((r.doc_id, r.text_sha256) for r in exact_dedup(docs).where("kept").collect()), key=str)
+    stay = sorted(((r.doc_id, hashlib.sha256((r.text or "").translate(LOWER).encode()).hexdigest()) for r in drop_copies(docs).collect()), key=str)
+    assert marked == stay and len(stay) == 3

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattframe.llm.text import lower_az
+from wattframe.llm.text import fresh, lower_az
 from wattframe.session import cut_lineage
 
 BUCKET_ENTRIES = 100_000
@@ -96,9 +96,11 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    kept = build_index(docs, id_column, text_column).select(F.col("keep_id").alias("_keep_id"))
-    return docs.join(kept, F.col(f"`{id_column}`").eqNullSafe(F.col("_keep_id")), "left_semi")
+    """The rows that `exact_dedup` marks as kept, with all their columns, whatever their names: those whose id and text are both those of an index entry."""
+    keep_id, digest = fresh(docs, "_keep_id"), fresh(docs, "_digest")
+    kept = build_index(docs, id_column, text_column).select(F.col("keep_id").alias(keep_id), F.col("sha").alias(digest))
+    own = F.unhex(F.sha2(lower_az(F.col(f"`{text_column}`")), 256))
+    return docs.join(kept, F.col(f"`{id_column}`").eqNullSafe(F.col(keep_id)) & (own == F.col(digest)), "left_semi")
 
 
 ORACLE_SQL = """

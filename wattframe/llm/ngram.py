@@ -20,7 +20,8 @@ DISCOUNT = 0.75
 STEP = 1 / 4096  # of quantised log10 values
 CHUNK_TOKENS = 1 << 20
 SHARD_TOKENS = 1 << 21
-MAX_SHARDS = 1 << 12
+MAX_SHARDS = 1 << 14
+MAX_MAPPED = 1 << 14  # open files of a task; a process may map 65,530 regions
 _WORDS = word_table()
 _END = np.uint64(0x452821E638D01377)
 _MAPPED: dict[str, list[np.ndarray]] = {}
@@ -28,7 +29,7 @@ _MAPPED: dict[str, list[np.ndarray]] = {}
 
 def _mapped(path: str) -> list[np.ndarray]:
     if path not in _MAPPED:
-        if len(_MAPPED) > 4 * MAX_SHARDS:
+        if len(_MAPPED) >= MAX_MAPPED:
             _MAPPED.clear()
         _MAPPED[path] = load(path)
     return _MAPPED[path]
@@ -346,6 +347,8 @@ def _build_grams(texts: DataFrame, levels: list[Level], order: int, discount: fl
     words, tokens = levels[0].nodes, levels[0].tokens
     parents = below.nodes + (1 if order == 2 else 0)
     draft = Grams(below.folder, order, _shards(tokens), parents, (0,), words, tokens)
+    if parents * (words + 1) >= 1 << 64 or draft.parents_per_shard << draft.word_bits >= 1 << 63:
+        raise ValueError(f"{parents} contexts of {words} words do not fit 64-bit keys; score the corpus in parts")
     span, per_shard, word_bits = np.uint64(words + 1), draft.parents_per_shard, np.uint64(draft.word_bits)
 
     def gram_keys(hashes: np.ndarray, starts: np.ndarray) -> tuple:

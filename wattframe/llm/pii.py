@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattframe.llm.text import fresh
 from wattframe.session import cut_lineage
 
 # The kinds in the order in which results list them.
@@ -217,13 +218,15 @@ def mask(text: str, spans: list[Span]) -> str:
 
 
 def mask_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
-    """`docs` with its columns, its texts masked and their lengths renewed.
+    """`docs` with its columns, whatever their names, its texts masked and their lengths renewed.
 
     Discovered spans come back by id and text hash; that table has only rows with discoveries, and Spark broadcasts it when it measures it to be small. Null texts stay null.
     """
     text = F.col(f"`{text_column}`").cast("string")
-    added = discovered(scan(docs, id_column, text_column)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("extra").alias("_extra")).dropDuplicates(["_id", "_hash"])
-    joined = docs.join(added, F.col(f"`{id_column}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left").drop("_id", "_hash")
+    row_id, row_hash, more = (fresh(docs, n) for n in ("_id", "_hash", "_extra"))
+    found = discovered(scan(docs, id_column, text_column))
+    added = found.select(F.col("doc_id").alias(row_id), F.col("text_hash").alias(row_hash), F.col("extra").alias(more)).dropDuplicates([row_id, row_hash])
+    joined = docs.join(added, F.col(f"`{id_column}`").eqNullSafe(F.col(row_id)) & (F.xxhash64(text) == F.col(row_hash)), "left").drop(row_id, row_hash)
     place, sized = docs.columns.index(text_column), docs.columns.index(length_column) if length_column in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

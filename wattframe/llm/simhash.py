@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.llm.components import connected_components
-from wattframe.llm.text import record_batches, texts_of
+from wattframe.llm.text import fresh, record_batches, texts_of
 from wattframe.session import cut_lineage
 
 SHINGLE_WORDS = 4
@@ -215,6 +215,10 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows whose doc_id names their component, with all their columns."""
-    kept = near_dedup(docs, id_column, text_column).select(F.col("component_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(f"`{id_column}`").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows whose doc_id names their component, with all their columns, whatever their names.
+
+    An id is one document: rows that repeat the id of a kept one stay with it. Rows without an id stay only if some component has no other.
+    """
+    kept_id = fresh(docs, "_kept_id")
+    kept = near_dedup(docs, id_column, text_column).select(F.col("component_id").alias(kept_id)).distinct()
+    return docs.join(kept, F.col(f"`{id_column}`").eqNullSafe(F.col(kept_id)), "left_semi")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattframe.llm.text import mix, texts_of, word_hashes, word_table
+from wattframe.llm.text import fresh, mix, texts_of, word_hashes, word_table
 from wattframe.session import cut_lineage
 
 TRAINING_ROWS = 20_000  # the most labelled rows a model is fitted on
@@ -123,10 +123,10 @@ def fit(training: DataFrame, epochs: int = 3) -> Weights:
     return Weights(float(values[~real].sum()), slots[real], values[real])
 
 
-def score(docs: DataFrame, model: Weights, text_column: str = "text") -> DataFrame:
-    """`docs` with all its columns and a column _toxicity: the probability that the text is toxic."""
+def score(docs: DataFrame, model: Weights, text_column: str = "text", score_column: str = "_toxicity") -> DataFrame:
+    """`docs` with all its columns and `score_column`: the probability that the text is toxic."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_toxicity", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_column, T.DoubleType())])
     place = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: Weights, text_column: str = "text") -> DataFra
         for batch in batches:
             logits = np.array([logit(t, weights, bias) for t in texts_of(batch.column(place))])
             values = 1 / (1 + np.exp(-np.clip(logits, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, "_toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, score_column])
 
     return docs.mapInArrow(run, schema)
 
@@ -153,5 +153,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """The rows with a score below 0.5, with all their columns."""
-    return score(docs, fit(training_rows(docs, labels, rows))).where("_toxicity < 0.5").drop("_toxicity")
+    """The rows with a score below 0.5, with all their columns, whatever their names."""
+    column = fresh(docs, "_toxicity")
+    return score(docs, fit(training_rows(docs, labels, rows)), score_column=column).where(F.col(column) < 0.5).drop(column)
