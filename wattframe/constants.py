@@ -86,6 +86,10 @@ SPIKE_PERCENTILES = (0.95, 0.99)
 FALLBACK_RMSE = {15: 0.0829, 30: 0.0972, 60: 0.1257}
 BAND_Z = 1.96
 
+# Boosting: the most rounds of each model and its tree depth. All stop earlier once held-out rows no longer gain.
+DEMAND_ROUNDS, HOURLY_ROUNDS, SPIKE_ROUNDS, CAUSE_ROUNDS = 500, 350, 300, 160
+TREE_DEPTH, CAUSE_DEPTH = 5, 3
+
 # Isolation forest.
 FOREST_TREES = 200
 FOREST_SAMPLE = 256

@@ -20,7 +20,7 @@ from wattframe.session import cut_lineage, work_folder
 
 
 def demand_models(t):
-    return boosted.demand_forecast_fit(f.demand_feature_frame(v.demand(t), v.weather(t)), iterations=10)
+    return boosted.demand_forecast_fit(f.demand_feature_frame(v.demand(t), v.weather(t)))
 
 
 @query("demand_forecast_fit")
@@ -44,7 +44,7 @@ def generation_fit(t):
             continue
         rows = frame.where(F.col("energy_type") == kind)
         names = [*f.HOURLY_FEATURES, "lagged_generation_ratio", "capacity_available"]
-        fitted = boosted.pooled_fit(rows.where(F.col("split") == "train"), names, "actual_mw", "absolute", 10)
+        fitted = boosted.pooled_fit(rows.where(F.col("split") == "train"), names, "actual_mw", C.HOURLY_ROUNDS, "absolute")
         scored = fitted.predict(rows.where(F.col("split") == "validation"), "predicted", floor=0.0)
         parts.append(m.gen_metrics(scored, ["energy_type"], "hourly", "actual_mw", "predicted"))
     return parts[0].unionByName(parts[1])
@@ -54,7 +54,7 @@ def generation_fit(t):
 def forecast_points(t):
     """Forecast records for the newest row of each asset, with the spike risk."""
     features = f.demand_feature_frame(v.demand(t), v.weather(t))
-    fitted, _ = boosted.demand_forecast_fit(features, iterations=5)
+    fitted, _ = boosted.demand_forecast_fit(features)
     newest = cut_lineage(f.recent_ffill(features, fitted.names).drop("missing_features"))
     scored = cut_lineage(boosted.forecast_points(fitted.predict(newest), fitted.rmse))
     spikes, _ = spike_models(t)
@@ -105,7 +105,7 @@ def spike_models(t):
         "asset_id", "timestamp", "split", s.spike_class(F.col("growth_pct"), F.col("moderate_growth_pct"), F.col("severe_growth_pct")).alias("spike_class")
     )
     frame = cut_lineage(rows.join(labelled, ["asset_id", "timestamp"]).where(F.col("historical_peak_24h").isNotNull()))
-    return boosted.spike_fit(frame.where(F.col("split") == "train"), iterations=5), frame
+    return boosted.spike_fit(frame.where(F.col("split") == "train")), frame
 
 
 @query("spike_fit")
@@ -135,7 +135,7 @@ def deviation_models(t):
     fitted = {}
     for kind in ("solar", "wind"):
         rows = frame.where((F.col("asset_type") == kind) & (F.col("split") == "train"))
-        fitted[kind] = boosted.pooled_fit(rows, CAUSE_FEATURES, "percentage_deviation", iterations=5)
+        fitted[kind] = boosted.pooled_fit(rows, CAUSE_FEATURES, "percentage_deviation", C.CAUSE_ROUNDS, depth=C.CAUSE_DEPTH)
     return fitted, frame
 
 

@@ -261,8 +261,21 @@ def leakage_audit(t):
     return q.leakage_audit(rows, "demand_mw", "lag_1")
 
 
-@query("column_candidates")
+HOUR_TYPES = {"timestamp": "timestamp"} | dict.fromkeys([
+    "cloud_cover", "wind_speed_10m", "temperature_2m", "relative_humidity_2m", "surface_pressure", "wind_direction_10m", "shortwave_radiation", "load",
+], "double")
+
+
+@query("column_candidates", f"""
+    WITH hours AS (SELECT w.timestamp, {", ".join(f"round({c}, 6) AS {c}" for c, kind in HOUR_TYPES.items() if kind == "double")}
+        FROM weather w LEFT JOIN loads l ON w.asset_id = l.asset_id AND w.timestamp = l.timestamp),
+    p AS ({_profile_sql("hours", HOUR_TYPES)}),
+    c(role, column_name, matched) AS (VALUES ('timestamp', 'timestamp', 'timestamp,time'), ('demand_load', 'load', 'load'), ('weather', 'temperature_2m', 'temperature,temp'),
+        ('weather', 'relative_humidity_2m', 'humidity'), ('weather', 'cloud_cover', 'cloud'), ('weather', 'wind_speed_10m', 'wind'), ('weather', 'wind_direction_10m', 'wind'),
+        ('weather', 'surface_pressure', 'pressure'), ('weather', 'shortwave_radiation', 'radiation'), ('wind', 'wind_speed_10m', 'wind'), ('wind', 'wind_direction_10m', 'wind'))
+    SELECT c.role, c.matched, p.* FROM c JOIN p ON c.column_name = p.column_name""", ["missing_pct"])
 def column_candidates(t):
     hours = v.weather(t).join(v.load(t), ["asset_id", "timestamp"], "left")
+    hours = hours.withColumns({c: F.round(c, 6) for c, kind in HOUR_TYPES.items() if kind == "double"})
     found = q.column_candidates(hours)
     return found.join(q.column_profile(hours, [c for c in hours.columns if c != "asset_id"]), "column_name")
