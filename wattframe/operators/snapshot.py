@@ -119,9 +119,11 @@ def dispatch_text_audit(texts: DataFrame, runs: DataFrame, actions: DataFrame) -
     )
     known = runs.select("run_id", "status").distinct()
     allowed = actions.select("run_id", F.round("power_mw", 1).alias("power_mw")).distinct().withColumn("_ok", F.lit(True))
-    joined = claims.join(known, "run_id", "left").join(allowed, ["run_id", "power_mw"], "left")
+    # Texts without a run need no look-up; kept out of the joins, they cannot gather in one task.
+    without = claims.where("run_id IS NULL").withColumn("violation", F.lit("no_run"))
+    joined = claims.where("run_id IS NOT NULL").join(known, "run_id", "left").join(allowed, ["run_id", "power_mw"], "left")
     problem = (
         F.when(F.col("status").isNull(), "no_run").when(F.col("status") == "infeasible", "infeasible_run")
         .when(F.col("_ok").isNull() & (F.col("power_mw") > 0), "unverified_power")
     )
-    return joined.withColumn("violation", problem).where(F.col("violation").isNotNull()).drop("_ok", "status")
+    return joined.withColumn("violation", problem).where(F.col("violation").isNotNull()).drop("_ok", "status").unionByName(without)

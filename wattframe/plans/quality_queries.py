@@ -178,15 +178,18 @@ def _profile_sql(table: str, columns: dict[str, str]) -> str:
     )
 
 
-WIDE_TYPES = {
-    "utc_timestamp": "timestamp", "DE_solar_generation_actual": "double", "AT_wind_offshore_generation_actual": "double", "NL_wind_capacity": "double",
-}
-EVENT_TYPES = {"event_id": "bigint", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
+WIDE_TYPES = {"utc_timestamp": "timestamp"} | dict.fromkeys([
+    "DE_solar_generation_actual", "DE_wind_onshore_generation_actual", "AT_wind_offshore_generation_actual", "NL_wind_generation_actual", "DE_solar_capacity", "NL_wind_capacity",
+], "double")
+EVENT_TYPES = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
 
 
-@query("column_profile", _profile_sql("events", EVENT_TYPES) + " UNION ALL " + _profile_sql("wide", {"NL_wind_capacity": "double"}), ["missing_pct"])
+@query("column_profile", f"""
+    WITH rounded AS (SELECT {", ".join(f"round({c}, 6) AS {c}" if kind == "double" else c for c, kind in WIDE_TYPES.items())} FROM wide)
+    {_profile_sql("events", EVENT_TYPES)} UNION ALL {_profile_sql("rounded", WIDE_TYPES)}""", ["missing_pct"])
 def column_profile(t):
-    return q.column_profile(t.read("events"), list(EVENT_TYPES)).unionByName(q.column_profile(v.wide(t), ["NL_wind_capacity"]))
+    wide = v.wide(t).withColumns({c: F.round(c, 6) for c, kind in WIDE_TYPES.items() if kind == "double"})
+    return q.column_profile(t.read("events")).unionByName(q.column_profile(wide))
 
 
 @query("sampling_freq", """
@@ -211,14 +214,14 @@ def coverage_summary(t):
 
 
 @query("dup_keys", """
-    SELECT 'all_columns' AS key_set, count(*) - (SELECT count(*) FROM (SELECT DISTINCT asset_id, timestamp, value FROM raw)) AS duplicates FROM raw
+    SELECT 'all_columns' AS key_set, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM events)) AS duplicates FROM raw
     UNION ALL SELECT 'timestamp', count(*) - count(DISTINCT timestamp) FROM raw
     UNION ALL SELECT 'timestamp_zone', count(*) - (SELECT count(*) FROM (SELECT DISTINCT zone_id, timestamp FROM raw)) FROM raw
     UNION ALL SELECT 'timestamp_feeder', count(*) - (SELECT count(*) FROM (SELECT DISTINCT asset_id, timestamp FROM raw)) FROM raw""")
 def dup_keys(t):
-    return q.dup_keys(v.raw(t), {
-        "all_columns": ("asset_id", "timestamp", "value"), "timestamp": ("timestamp",), "timestamp_zone": ("zone_id", "timestamp"),
-        "timestamp_feeder": ("asset_id", "timestamp"),
+    rows = v.raw(t)
+    return q.dup_keys(rows, {
+        "all_columns": tuple(rows.columns), "timestamp": ("timestamp",), "timestamp_zone": ("zone_id", "timestamp"), "timestamp_feeder": ("asset_id", "timestamp"),
     })
 
 

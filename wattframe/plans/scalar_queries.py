@@ -202,7 +202,7 @@ CLAIMS = r"""(?i)\b(discharge|charge|dispatch|curtail|curtailment|shift)\s+(\d+(
 @query("dispatch_text_audit", f"""
     WITH x AS ({TEXTS}), m AS (SELECT text_id, run_id, regexp_extract_all(text, '{CLAIMS}', 0) AS c, regexp_extract_all(text, '{CLAIMS}', 2) AS p FROM x),
     f AS (SELECT text_id, run_id, unnest(range(len(c))) AS claim_no, unnest(c) AS claim, round(CAST(unnest(p) AS DOUBLE), 1) AS power_mw FROM m),
-    r AS (SELECT scenario_id AS run_id, CASE WHEN max_discharge_mw = 0 THEN 'infeasible' ELSE 'feasible' END AS status FROM resources WHERE right(scenario_id, 1) <> '3'),
+    r AS (SELECT scenario_id AS run_id, CASE WHEN max_discharge_mw = 0 THEN 'infeasible' ELSE 'feasible' END AS status FROM resources),
     a AS (SELECT DISTINCT scenario_id AS run_id, round(discharge_mw, 1) AS power_mw FROM plans)
     SELECT * FROM (SELECT f.*, CASE WHEN r.status IS NULL THEN 'no_run' WHEN r.status = 'infeasible' THEN 'infeasible_run'
         WHEN a.power_mw IS NULL AND f.power_mw > 0 THEN 'unverified_power' END AS violation FROM f LEFT JOIN r ON f.run_id = r.run_id LEFT JOIN a ON f.run_id = a.run_id AND f.power_mw = a.power_mw)
@@ -219,7 +219,7 @@ def dispatch_text_audit(t):
         (-(F.col("conv_id") * 10000 + F.col("turn")) - 1).alias("text_id"), F.lit(None).cast("string").alias("run_id"),
         F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" Dispatch 12.5 MW."))).otherwise(F.col("text")).alias("text"),
     )
-    runs = v.resources(t).where(F.substring("scenario_id", -1, 1) != "3").select(
+    runs = v.resources(t).select(
         F.col("scenario_id").alias("run_id"), F.when(F.col("max_discharge_mw") == 0, "infeasible").otherwise("feasible").alias("status")
     )
     actions = v.candidate_plans(t).select(F.col("scenario_id").alias("run_id"), F.col("discharge_mw").alias("power_mw"))

@@ -20,24 +20,25 @@ def scan_telemetry(t):
     )
 
 
-@query("asset_resolve", """
-    SELECT 'events' AS asset_id, count(*) AS row_count, 1 AS files FROM events
-    UNION ALL SELECT 'orders', count(*), 1 FROM orders UNION ALL SELECT 'lineitem', count(*), 1 FROM lineitem""")
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+TABLE_FILES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("asset_resolve", " UNION ALL ".join(f"SELECT '{n}' AS asset_id, count(*) AS row_count, 1 AS files, FALSE AS ambiguous FROM {n}" for n in TABLE_FILES))
 def asset_resolve(t):
-    paths = [f"{t.folder}/{n}.parquet" for n in ("events", "orders", "lineitem")]
-    parts = [
-        t.spark.read.parquet(p).select(F.col("_metadata.file_path").alias("source_path")).withColumn("asset_id", scan.asset_from_path(F.col("source_path")))
-        for p in paths
-    ]
-    tree = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    per_file = tree.groupBy("asset_id", "source_path").agg(F.count(F.lit(1)).alias("_k"))
-    return per_file.groupBy("asset_id").agg(F.sum("_k").alias("row_count"), F.count(F.lit(1)).alias("files"))
+    """The data folder as an asset tree: every file, its rows and whether its name is unique. No column of the files is read."""
+    tree = scan.scan_asset_tree(t.spark, t.folder, "unread string")
+    rows = tree.groupBy("asset_id").agg(F.count(F.lit(1)).alias("row_count"))
+    return rows.join(scan.resolve_assets(tree).select("asset_id", "files", "ambiguous"), "asset_id")
 
 
 @query("weather_scan", "SELECT * FROM weather", [
     "cloud_cover", "wind_speed_10m", "temperature_2m", "relative_humidity_2m", "surface_pressure", "wind_direction_10m", "shortwave_radiation"])
 def weather_scan(t):
-    return scan.clean_columns(v.weather(t).withColumnRenamed("timestamp", "datetime"))
+    """Weather written below `weather_measurements` and scanned from there; the files are named by Spark, so the asset is a column of its own."""
+    folder = work_folder(t.spark, "observed")
+    v.weather(t).withColumnsRenamed({"asset_id": "station", "timestamp": "datetime"}).write.parquet(f"{folder}/weather_measurements")
+    return scan.scan_weather(t.spark, folder).drop("asset_id", "source_path").withColumnRenamed("station", "asset_id")
 
 
 @query("catalogue_filter", """
@@ -63,19 +64,23 @@ def wide_csv_scan(t):
 
 
 @query("format_scan", """
-    SELECT f.format, e.event_type, e.row_count, e.total FROM (VALUES ('csv'), ('json'), ('parquet')) f(format),
-        (SELECT event_type, count(*) AS row_count, sum(value) AS total FROM events GROUP BY 1) e""", ["total"])
+    SELECT f.format, e.* FROM (VALUES ('csv'), ('json'), ('parquet')) f(format), (SELECT event_type, count(*) AS row_count, sum(value) AS total, CAST(sum(event_id) AS BIGINT) AS ids,
+        CAST(sum(user_id) AS BIGINT) AS users, min(ts) AS first_ts, max(ts) AS last_ts, CAST(sum(length(props)) AS BIGINT) AS props_chars FROM events GROUP BY 1) e""", ["total"])
 def format_scan(t):
-    base = t.read("events").select("event_id", "event_type", "value")
+    base = t.read("events")
     folder, parts = work_folder(t.spark, "formats"), []
     for fmt, ending in (("csv", "csv"), ("json", "jsonl"), ("parquet", "parquet")):
         path = f"{folder}/{fmt}.{ending}"
-        writer = base.write.option("header", True) if fmt == "csv" else base.write
+        # The usual stamp formats of text files stop at milliseconds.
+        text = {} if fmt == "parquet" else {"timestampFormat": MICROS, "timestampNTZFormat": MICROS}
+        writer = base.write.options(**text).option("header", True) if fmt == "csv" else base.write.options(**text)
         getattr(writer, fmt)(path)
-        read = scan.scan_table(t.spark, path, "event_id long, event_type string, value double")
-        parts.append(read.withColumn("format", F.lit(fmt)))
+        parts.append(scan.scan_table(t.spark, path, base.schema).withColumn("format", F.lit(fmt)))
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.groupBy("format", "event_type").agg(F.count(F.lit(1)).alias("row_count"), F.sum("value").alias("total"))
+    return rows.groupBy("format", "event_type").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum("value").alias("total"), F.sum("event_id").alias("ids"), F.sum("user_id").alias("users"), F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"), F.sum(F.length("props")).alias("props_chars"),
+    )
 
 
 @query("parquet_sink", """
