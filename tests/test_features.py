@@ -100,6 +100,13 @@ def test_recent_fill_names_what_is_missing(spark):
     assert r["p"] == 2.0 and r["missing_features"] == "q"
 
 
+def test_forecast_gate_names_the_first_reason(spark):
+    rows = [(a, START + timedelta(minutes=15 * i), x, 1.0) for a, n, x in (("short", 95, None), ("hole", 96, None), ("full", 97, 2.0)) for i in range(n)]
+    df = spark.createDataFrame(rows, "asset_id string, timestamp timestamp, p double, q double")
+    got = {r["asset_id"]: (r["history_rows"], r["missing_features"], r["error_code"]) for r in f.forecast_gate(df, ["p", "q"]).collect()}
+    assert got == {"short": (95, "p", "INSUFFICIENT_HISTORY"), "hole": (96, "p", "MISSING_FEATURE"), "full": (97, "", None)}
+
+
 def test_input_gate(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, 3.0)], "a double, b double")
     r = f.input_gate(df, ["a", "b"]).first()

@@ -229,6 +229,17 @@ def recent_ffill(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ASSE
     return filled.withColumn("missing_features", F.array_join(missing, ","))
 
 
+def forecast_gate(df: DataFrame, names: Sequence[str], steps: int = C.DAY_STEPS, keys: Sequence[str] = ASSET, ts: str = TS) -> DataFrame:
+    """The newest row of each series, filled as by `recent_ffill`, with `history_rows` and the reason why no forecast can start from it, if any.
+
+    Too short a history comes before inputs that stay unknown.
+    """
+    depth = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("history_rows"))
+    newest = recent_ffill(df, names, keys, ts).join(depth, [*keys])
+    error = F.when(F.col("history_rows") < steps, "INSUFFICIENT_HISTORY").when(F.col("missing_features") != "", "MISSING_FEATURE")
+    return newest.withColumn("error_code", error)
+
+
 def input_gate(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Columns that are absent, and null counts of those present, as a typed report."""
     absent = [n for n in names if n not in df.columns]

@@ -52,19 +52,21 @@ def generation_fit(t):
 
 @query("forecast_points")
 def forecast_points(t):
-    """Forecast records for the newest row of each asset, with the spike risk."""
+    """The forecast from the newest row of each asset, one row per point with the spike risk, or one row with the reason why there is none."""
     features = f.demand_feature_frame(v.demand(t), v.weather(t))
     fitted, _ = boosted.demand_forecast_fit(features)
-    newest = cut_lineage(f.recent_ffill(features, fitted.names).drop("missing_features"))
-    scored = cut_lineage(boosted.forecast_points(fitted.predict(newest), fitted.rmse))
+    gated = cut_lineage(f.forecast_gate(features, fitted.names))
+    usable = gated.where("error_code IS NULL").drop("missing_features", "history_rows", "error_code")
+    scored = cut_lineage(boosted.forecast_points(fitted.predict(usable), fitted.rmse))
     spikes, _ = spike_models(t)
-    risk = spikes.predict(
-        f.spike_feature_frame(v.demand(t), v.weather(t)).join(newest.select("asset_id", "timestamp"), ["asset_id", "timestamp"], "left_semi")
-    )
-    joined = scored.join(risk.select("asset_id", "timestamp", "level", "probability"), ["asset_id", "timestamp"])
-    return boosted.forecast_contract(joined).select(
-        "zone_id", "generated_at", "horizon_minutes", F.size("points").alias("n_points"), "spike_risk.level", "spike_risk.probability", "spike_risk.predicted_peak_mw"
-    )
+    keys = ["asset_id", "timestamp"]
+    risk = spikes.predict(f.spike_feature_frame(v.demand(t), v.weather(t)).join(usable.select(*keys), keys, "left_semi"))
+    records = boosted.forecast_contract(scored.join(risk.select(*keys, "level", "probability"), keys, "left"))
+    points = records.select(
+        "zone_id", "generated_at", "horizon_minutes", F.explode("points").alias("_p"), "spike_risk.level", "spike_risk.probability", "spike_risk.predicted_peak_mw"
+    ).select("zone_id", "generated_at", "horizon_minutes", "level", "probability", "predicted_peak_mw", F.col("_p.timestamp").alias("point_at"), "_p.demand_mw", "_p.lower_bound_mw", "_p.upper_bound_mw")
+    failed = gated.where("error_code IS NOT NULL").select(F.col("asset_id").alias("zone_id"), F.col("timestamp").alias("generated_at"), "error_code")
+    return points.unionByName(failed, allowMissingColumns=True)
 
 
 @query("forecast_band", """

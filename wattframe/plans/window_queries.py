@@ -236,16 +236,32 @@ def exceed_targets(t):
 DEMAND_SQL_WEATHER = ["temperature_2m", "relative_humidity_2m", "surface_pressure", "cloud_cover", "wind_speed_10m", "wind_direction_10m", "shortwave_radiation"]
 
 
-@query("demand_feature_frame", f"""
+DEMAND_FRAME_SQL = f"""
     WITH h AS (SELECT asset_id, timestamp, timestamp AS ts, demand_mw, {LAGS.format(x='demand_mw')}, {_rolling('demand_mw')} FROM demand)
     SELECT h.* EXCLUDE (ts), demand_mw_lag_15m - demand_mw_lag_30m AS demand_mw_diff_15m, demand_mw_lag_15m - demand_mw_lag_60m AS demand_mw_diff_1h, {CALENDAR},
         CASE WHEN x.d IS NULL THEN 0 ELSE 1 END AS is_holiday, {', '.join(DEMAND_SQL_WEATHER)}, 0.0 AS direct_radiation, 0.0 AS diffuse_radiation, 0.0 AS direct_normal_irradiance
-    FROM h LEFT JOIN weather w ON h.asset_id = w.asset_id AND h.timestamp = w.timestamp LEFT JOIN (VALUES {HOLIDAY_DATES}) x(d) ON strftime(ts, '%Y-%m-%d') = x.d""",
+    FROM h LEFT JOIN weather w ON h.asset_id = w.asset_id AND h.timestamp = w.timestamp LEFT JOIN (VALUES {HOLIDAY_DATES}) x(d) ON strftime(ts, '%Y-%m-%d') = x.d"""
+
+
+@query("demand_feature_frame", DEMAND_FRAME_SQL,
     ["demand_mw", *LAG_NAMES, *ROLL_NAMES, "demand_mw_diff_15m", "demand_mw_diff_1h", "sin_hour", "cos_hour", "sin_dow", "cos_dow", *DEMAND_SQL_WEATHER])
 def demand_feature_frame(t):
     return f.demand_feature_frame(v.demand(t), v.weather(t))
 
 
+GATED = f.demand_feature_names()
+
+
+@query("forecast_gate", f"""
+    WITH f AS ({DEMAND_FRAME_SQL}), r AS (SELECT asset_id, timestamp, row_number() OVER (PARTITION BY asset_id ORDER BY timestamp DESC) AS r, count(*) OVER (PARTITION BY asset_id) AS history_rows,
+        {", ".join(f"last_value({c} IGNORE NULLS) OVER x AS {c}" for c in GATED)} FROM f WINDOW x AS (PARTITION BY asset_id ORDER BY timestamp ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+    g AS (SELECT asset_id, timestamp, history_rows, concat_ws(',', {", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in GATED)}) AS missing_features FROM r WHERE r = 1)
+    SELECT *, CASE WHEN history_rows < 96 THEN 'INSUFFICIENT_HISTORY' WHEN missing_features <> '' THEN 'MISSING_FEATURE' END AS error_code FROM g""")
+def forecast_gate(t):
+    """Which assets a forecast can start from, and why not from the others."""
+    return f.forecast_gate(demand_feature_frame(t), GATED).select("asset_id", "timestamp", "history_rows", "missing_features", "error_code")
+
+
 @query("spike_feature_frame", f"""
     WITH p AS (SELECT asset_id, timestamp, timestamp AS ts, demand_mw, {PEAK} AS historical_peak_24h, lag(demand_mw) {W}) AS forecast_load FROM demand)
     SELECT p.asset_id, p.timestamp, demand_mw AS current_load, forecast_load, (forecast_load - demand_mw) / greatest(demand_mw, 0.10) * 100 AS load_growth_pct, historical_peak_24h,
