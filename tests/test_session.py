@@ -5,10 +5,10 @@ import pytest
 from wattframe.plans.catalog import load_queries
 from wattframe.session import cut_lineage, one_process, shared_folder, use_utc, work_folder
 
-# Fitted models, and a report about column names.
+# Results that depend on fitted models.
 WITHOUT_SQL = {
     "demand_forecast_fit", "generation_fit", "forecast_points", "anomaly_forest", "anomaly_forest_hourly", "spike_fit", "deviation_fit", "contributions",
-    "renewable_status", "model_artifacts", "column_candidates",
+    "renewable_status",
 }
 
 

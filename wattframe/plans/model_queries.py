@@ -15,7 +15,7 @@ from wattframe.operators.snapshot import status_struct
 from wattframe.plans import views as v
 from wattframe.plans.diagnosis_queries import flagged
 from wattframe.plans.registry import query
-from wattframe.plans.window_queries import train_growth
+from wattframe.plans.window_queries import DEMAND_FRAME_SQL, LAG_NAMES, ROLL_NAMES, train_growth
 from wattframe.session import cut_lineage, work_folder
 
 
@@ -179,7 +179,12 @@ def renewable_status(t):
     return explained.select(status_struct(cause=True).alias("s"), "diagnostic_category").select("s.*", "diagnostic_category")
 
 
-@query("model_artifacts")
+REREAD = ", ".join(f"CASE WHEN count(*) > 0 THEN 0.0 END AS off_{h}" for h in C.HORIZONS_MINUTES)
+
+
+@query("model_artifacts", f"""
+    WITH f AS ({DEMAND_FRAME_SQL}) SELECT count(*) AS rows, {REREAD} FROM f JOIN splits s ON f.asset_id = s.asset_id AND f.timestamp = s.timestamp
+    WHERE s.split = 'test' AND {" AND ".join(f"{c} IS NOT NULL" for c in (*LAG_NAMES, *ROLL_NAMES))}""", [f"off_{h}" for h in C.HORIZONS_MINUTES])
 def model_artifacts(t):
     """Save the horizon boosters with their metadata, load them again, and compare predictions."""
     fitted, test = demand_models(t)
