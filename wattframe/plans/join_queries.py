@@ -9,7 +9,7 @@ from wattframe.operators import metrics as m
 from wattframe.operators import quality as q
 from wattframe.operators import reshape as r
 from wattframe.operators.diagnose import ranked_contributions, weather_columns
-from wattframe.operators.series import floor_time, from_epoch, epoch, grid
+from wattframe.operators.series import epoch, floor_time, from_epoch, grid
 from wattframe.operators.splits import baselines, stacked_baselines
 from wattframe.plans import views as v
 from wattframe.plans.registry import query
@@ -25,10 +25,12 @@ def weather_left(t):
 
 
 @query("weather_dedup_left", """
-    WITH w AS (SELECT asset_id, timestamp, k AS cloud_cover FROM raw WHERE k < 90 QUALIFY row_number() OVER (PARTITION BY asset_id, timestamp ORDER BY tie DESC) = 1)
+    WITH s AS (SELECT asset_id, time_bucket(INTERVAL '15 minutes', available_at) AS timestamp, k AS cloud_cover, tie FROM raw),
+    w AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY asset_id, timestamp ORDER BY tie DESC) = 1)
     SELECT p.asset_id, p.timestamp, performance_ratio, cloud_cover FROM perf p LEFT JOIN w ON p.asset_id = w.asset_id AND p.timestamp = w.timestamp""", ["performance_ratio"])
 def weather_dedup_left(t):
-    weather = v.raw(t).where(F.col("k") < 90).select("asset_id", "timestamp", F.col("k").alias("cloud_cover"), "tie")
+    """Weather counts from when it is known, so some rows have none and some stamps several."""
+    weather = v.raw(t).select("asset_id", floor_time("available_at", 900).alias("timestamp"), F.col("k").alias("cloud_cover"), "tie")
     return weather_columns(v.perf(t).select("asset_id", "timestamp", "performance_ratio"), weather, "tie")
 
 
@@ -58,9 +60,9 @@ def interp_join(t):
 
 @query("expected_actual", """
     SELECT a.asset_id, a.timestamp, actual_mw, predicted_mw FROM (SELECT asset_id, timestamp, load / 1e6 AS actual_mw FROM loads) a
-    JOIN (SELECT asset_id, timestamp, avg(k) / 10 AS predicted_mw FROM raw WHERE k >= 5 GROUP BY 1, 2) p ON a.asset_id = p.asset_id AND a.timestamp = p.timestamp""", ["actual_mw", "predicted_mw"])
+    JOIN (SELECT asset_id, time_bucket(INTERVAL '15 minutes', available_at) AS timestamp, avg(k) / 10 AS predicted_mw FROM raw GROUP BY 1, 2) p ON a.asset_id = p.asset_id AND a.timestamp = p.timestamp""", ["actual_mw", "predicted_mw"])
 def expected_actual(t):
-    predicted = v.raw(t).where(F.col("k") >= 5).groupBy("asset_id", "timestamp").agg((F.avg("k") / 10).alias("predicted_mw"))
+    predicted = v.raw(t).groupBy("asset_id", floor_time("available_at", 900).alias("timestamp")).agg((F.avg("k") / 10).alias("predicted_mw"))
     return j.expected_actual(predicted, v.demand(t).withColumnRenamed("demand_mw", "actual_mw"))
 
 
