@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from wattframe.llm.toxicity import Ftrl, drop_toxic, score_toxicity, slots_of
+from wattframe.llm.toxicity import Ftrl, drop_toxic, score_toxicity, slots_of, training_rows
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -51,3 +51,12 @@ def test_ftrl_step_by_hand():
     w = model.weights(np.array([1]))
     assert np.allclose(w, 0.4 / ((1 + 0.5) / 0.5 + 1))
     assert len(slots_of(b"")) == 0 and len(slots_of(b"a b c d")) == 4 + 3 + 2 + 2 + 1
+
+
+def test_a_repeated_id_is_learnt_once(spark, make_docs):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:6]
+    docs = make_docs([(i, f"text {i}", "a") for i in ids] + [(ids[0], f"other {k}", "b") for k in range(30)] + [(ids[1], None, "b")])
+    table = spark.createDataFrame([(i, 1, 0) for i in ids], "doc_id long, quality int, toxic int")
+    assert training_rows(docs, table).count() == 6 and training_rows(docs, table, 3).count() == 3
+    again = docs.unionByName(docs).repartition(5)
+    assert sorted(map(str, training_rows(docs, table).collect())) == sorted(map(str, training_rows(again, table).collect()))

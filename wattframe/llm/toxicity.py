@@ -88,12 +88,16 @@ def learnable(id_column: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """text, label, place: at most `rows` learnable labelled documents, those with the smallest hashes of their ids (the bound is on the fit alone)."""
+    """text, label, place: at most `rows` learnable labelled documents, those with the smallest hashes of their ids (the bound is on the fit alone).
+
+    One row per id: of rows that repeat an id, the one with the smallest hash of its text.
+    """
     usable = labels.where(F.col("toxic").isin(0, 1) & learnable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     picked = usable.select("doc_id", "label", F.xxhash64("doc_id").alias("place")).orderBy("place", "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Bounded by `rows`: three numbers each.
-    return texts.join(F.broadcast(cut_lineage(picked)), "doc_id").select("text", "label", "place")
+    labelled = texts.join(F.broadcast(cut_lineage(picked)), "doc_id")
+    return labelled.groupBy("doc_id", "label", "place").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "label", "place")
 
 
 def fit(training: DataFrame, epochs: int = 3) -> Weights:
@@ -143,7 +147,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS
     """One row per row of `docs`: doc_id, held_out, score, predicted.
 
     Learns from at most `rows` labelled rows outside the held-out fifth; scores depend on the text alone. Null and empty texts get the score of the bias. A
-    document labelled several times counts as toxic if one label says so; labels other than 0 and 1 and null ids are not learnt. Without usable labels all scores
+    document labelled several times counts as toxic if one label says so, and of rows that repeat an id one is learnt; labels other than 0 and 1 and null ids are not learnt. Without usable labels all scores
     are 0.5. Repeated rows score alike; an empty table gives an empty result; other columns are not read.
     """
     model = fit(training_rows(docs, labels, rows))
