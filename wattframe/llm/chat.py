@@ -192,13 +192,13 @@ def format_chats(turns: DataFrame, loss_role: str = LOSS_ROLE, chunk_chars: int
     """conv_id, chunk, text, loss: the formatted conversations; `loss` lists [start, stop) in code points of `text` where the texts of `loss_role` stand.
 
     A conversation is the texts of its chunks in ascending order; beyond `chunk_chars` and where the sort splits it, it continues in a further chunk, always at a turn. Rows are dealt by
-    ranges of (conversation, turn), so a conversation that holds a large part of all turns is written by several tasks, each of which keeps one chunk in memory. A conversation without
-    turns has an empty text.
+    ranges of (conversation, turn), so a conversation that holds a large part of all turns is written by several tasks, each of which keeps one chunk in memory; only turns
+    that tie in all of (turn, record, place) stay together. A conversation without turns has an empty text.
     """
     head = F.concat(F.lit(OPEN), escape(F.col("role"), ROLE_ESCAPES), F.lit(SEPARATOR))
     body = escape(F.col("text"))
-    order = [c if isinstance(c, Column) else F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "record", "place", "role", "text")]
-    ranged = turns.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "record", "place", "role", "text")]
+    ranged = turns.repartitionByRange(*order[:4]).sortWithinPartitions(*order)  # texts stay out of the sampled bounds
     pieces = ranged.select(
         "conv_id", F.concat(head, body, F.lit(CLOSE)).alias("piece"), F.length(head).alias("before"), F.length(body).alias("size"), (F.col("role") == loss_role).alias("learnt")
     )
