@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from wattframe.llm import chat, dedup, fixity, infill, neighbours, ngram, packing, pieces, pii, simhash, toxicity, urls
+from wattframe.llm import chat, dedup, fixity, infill, neighbours, ngram, packing, pieces, pii, prefixes, simhash, toxicity, urls
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -62,13 +62,17 @@ def op11_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(chat.canonical_turns(records)))
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.conversation_trie(read(spark, folder, "conversations"))
+
+
 def op13_infill(spark: SparkSession, folder: str) -> DataFrame:
     return infill.infill_digests(read(spark, folder, "documents"))
 
 
-OPERATORS = (op1_pii, op2_exact_dedup, op3_url_filter, op4_toxicity, op5_neighbours, op6_fixity, op7_lm_scoring, op8_packing, op9_sentencepiece, op10_simhash, op11_chat, op13_infill)
+OPERATORS = (op1_pii, op2_exact_dedup, op3_url_filter, op4_toxicity, op5_neighbours, op6_fixity, op7_lm_scoring, op8_packing, op9_sentencepiece, op10_simhash, op11_chat, op12_prefix_trie, op13_infill)
 QUERIES: dict[str, Plan] = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": dedup.ORACLE_SQL, "op3_url_filter": urls.ORACLE_SQL, "op6_fixity": fixity.ORACLE_SQL, "op11_chat": chat.ORACLE_SQL,
-    "op13_infill": infill.ORACLE_SQL,
+    "op12_prefix_trie": prefixes.ORACLE_SQL, "op13_infill": infill.ORACLE_SQL,
 }
