@@ -5,8 +5,8 @@ import re
 
 import pytest
 from test_dedup import LOWER
+from test_jaccard import brute_jaccard
 from test_pii import naive
-from test_simhash import brute_components, brute_fingerprint
 
 import corpus_pipeline
 from wattframe.llm.pii import mask
@@ -36,7 +36,7 @@ def test_stages(spark):
     assert unique == set(last.values()) and out.columns == columns
 
     out = spark.createDataFrame(stages["near_dedup"](spark, out, FOLDER).collect(), docs.schema)
-    wanted = {c for _, c in brute_components([(i, brute_fingerprint(rows[i].text)) for i in sorted(unique)])}
+    wanted = {c for _, c in brute_jaccard([(i, rows[i].text) for i in sorted(unique)])}
     assert {r.doc_id for r in out.collect()} == wanted and out.columns == columns
 
     out = spark.createDataFrame(stages["pii"](spark, out, FOLDER).collect(), docs.schema)
