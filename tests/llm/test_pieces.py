@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from wattframe.llm.pieces import Encoder, Vocabulary, decode, encode_texts, read_vocabulary, short_viterbi, viterbi
+from wattframe.llm.pieces import Encoder, Lanes, Vocabulary, _encode_portion, decode, encode_texts, read_vocabulary, short_viterbi, viterbi
 
 
 def full(text, v):
@@ -53,6 +53,25 @@ def test_round_trip_and_public_vocabulary():
             assert ids.tolist() == full("▁" + text.replace(" ", "▁"), v)
 
 
+def test_lanes_equal_the_streaming_search():
+    """Many words at once against one text after the other: long words, bytes, literal marks, spaces at the ends, empty texts."""
+    v = read_vocabulary()
+    lanes, alone, rng = Lanes(v), Encoder(v), random.Random(11)
+    letters = ["a", "e", "n", "th", "ing", "er", " ", "  ", "\n", "ß", "你", "𝄞", "0", "Ver", "\x00"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(500)] + ["", " ", "   a", "a   ", "donau" * 60 + " x", "𝄞" * 100, "▁", "a▁ b", "x" * 33]
+    values, counts, whole = _encode_portion(lanes, [t.encode() for t in texts])
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    assert whole.all() and all(values[a:b].tolist() == alone.encode(t).tolist() for a, b, t in zip(ends, ends[1:], texts))
+
+
+def test_a_lost_piece_shows_in_restored():
+    v = read_vocabulary()
+    lanes = Lanes(v)
+    first = int(_encode_portion(lanes, [b"the"])[0][0])
+    lanes.ids[lanes.ids == first] = first - 1
+    assert _encode_portion(lanes, [b"the", b"of a", b""])[2].tolist() == [False, True, True]
+
+
 def test_hard_rows(hard_docs):
     rows = encode_texts(hard_docs).collect()
     assert len(rows) == hard_docs.count() and all(r.restored and r.n_ids == len(r.ids) for r in rows)
