@@ -137,3 +137,20 @@ def test_impossible_plans_are_infeasible(spark, periods, resources):
     partial = idle(one).where("period <> 2")
     rows = d.dispatch_rows(partial, one, resources)
     assert {(r["period"], r["violated"]) for r in d.violation_texts(rows).collect()} == {(2, "missing")} and rows.count() == one.count()
+
+
+def test_unknown_periods_and_absent_limits(spark, periods, resources):
+    one = periods.where("scenario_id = 'NORMAL_DAY'")
+    far = idle(one).unionByName(idle(one).limit(1).withColumns({"period": F.lit(9), "discharge_mw": F.lit(900.0)}))
+    rows = d.dispatch_rows(far, one, resources)
+    assert {r["violated"] for r in d.violation_texts(rows).where("period = 9").collect()} >= {"unknown", "discharge"} and rows.count() == one.count() + 1
+    got = d.dispatch_eval(rows).first()
+    plain = d.dispatch_eval(d.dispatch_rows(idle(one), one, resources)).first()
+    assert not got["feasible"] and got["cost"] > plain["cost"] and plain["feasible"] and got["after_demand_mw"] == plain["after_demand_mw"]
+    blind = resources.withColumn("grid_capacity_mw", F.lit(None).cast("double"))
+    got = d.dispatch_eval(d.dispatch_rows(idle(one), one, blind)).first()
+    assert (got["feasible"], got["capacity_violations"], got["after_stress"]) == (False, one.count(), 1.0)
+    got = d.dispatch_eval(d.dispatch_rows(idle(one), one, resources.where("scenario_id = 'none'"))).first()
+    assert not got["feasible"] and got["capacity_violations"] == one.count()
+    nowhere = idle(one).withColumn("scenario_id", F.lit("nowhere"))
+    assert [r["unknown_violations"] for r in d.dispatch_eval(d.dispatch_rows(nowhere, one, resources)).collect()] == [one.count()]

@@ -87,14 +87,16 @@ def soc_path(rows: DataFrame, keys: Sequence[str] = PLAN) -> DataFrame:
 
 
 def dispatch_rows(plans: DataFrame, periods: DataFrame, resources: DataFrame) -> DataFrame:
-    """Every plan over every period of its scenario, with resources: use, residual and state of charge.
+    """Every plan over every period of its scenario and every period it lists, with resources: use, residual and state of charge.
 
-    A period that a plan does not list has no actions and `listed` false. An absent resource has no room: its limits and state count as 0.
+    A period that a plan does not list has no actions and `listed` false; one that the scenario does not have has no demand or supply and `known` false. An absent resource
+    has no room: its limits and state count as 0, and so does the grid of a scenario without a resource row.
     """
-    every = plans.select(*PLAN).distinct().join(periods, "scenario_id")
-    rows = every.join(plans.withColumn("listed", F.lit(True)), [*PLAN, "period"], "left").join(resources, "scenario_id")
-    rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in (*ACTIONS, *RESOURCE_LIMITS, "ev_demand_mw", "industrial_demand_mw")})
-    rows = rows.withColumns({"listed": F.coalesce("listed", F.lit(False)), "efficiency": F.coalesce("efficiency", F.lit(1.0))})
+    ids = plans.select(*PLAN).distinct().join(periods.withColumn("known", F.lit(True)), "scenario_id")
+    rows = ids.join(plans.withColumn("listed", F.lit(True)), [*PLAN, "period"], "full").join(resources, "scenario_id", "left")
+    flows = ("demand_mw", "solar_mw", "wind_mw", "other_generation_mw", "ev_demand_mw", "industrial_demand_mw")
+    rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in (*ACTIONS, *flows, *RESOURCE_LIMITS, "grid_capacity_mw")})
+    rows = rows.withColumns({"listed": F.coalesce("listed", F.lit(False)), "known": F.coalesce("known", F.lit(False)), "efficiency": F.coalesce("efficiency", F.lit(1.0))})
     used = renewable() - F.col("curtail_mw")
     residual = (F.col("demand_mw") - F.col("ev_shift_mw") - F.col("ind_shift_mw")) - (
         F.col("other_generation_mw") + used + F.col("discharge_mw") - F.col("charge_mw")
@@ -102,12 +104,12 @@ def dispatch_rows(plans: DataFrame, periods: DataFrame, resources: DataFrame) ->
     return soc_path(rows.withColumn("used_mw", used).withColumn("residual", residual))
 
 
-
 def violation_tests() -> dict[str, Column]:
     """One test per physical limit of a schedule."""
     c = F.col
     return {
         "missing": ~c("listed"),
+        "unknown": ~c("known"),
         "negative": F.least(*[c(a) for a in ACTIONS]) < -TOLERANCE,
         "soc": (c("soc_mwh") < c("min_soc_mwh") - TOLERANCE) | (c("soc_mwh") > c("max_soc_mwh") + TOLERANCE),
         "charge": c("charge_mw") > c("max_charge_mw") + TOLERANCE,
@@ -121,7 +123,7 @@ def violation_tests() -> dict[str, Column]:
 
 
 def dispatch_eval(rows: DataFrame) -> DataFrame:
-    """Cost, deficit, limit violations and after-metrics per schedule.
+    """Cost, deficit, limit violations and after-metrics per schedule; the metrics are means over the scenario's own periods.
 
     Shifted load is not returned in a later period. Unbalanced energy shows as
     deficit or oversupply with its cost; it does not make a plan infeasible.
@@ -135,11 +137,12 @@ def dispatch_eval(rows: DataFrame) -> DataFrame:
     )
     demand = F.col("demand_mw") - F.col("ev_shift_mw") - F.col("ind_shift_mw")
     tests = violation_tests()
+    mean = lambda x: F.avg(F.when(F.col("known"), x))
     grouped = rows.groupBy(*PLAN).agg(
         F.sum(cost).alias("cost"), F.sum(deficit).alias("deficit_mw"), F.sum(over).alias("oversupply_mw"),
         *[F.count_if(test).alias(f"{name}_violations") for name, test in tests.items()],
-        F.avg(demand).alias("after_demand_mw"), F.avg("used_mw").alias("after_renewable_mw"), F.avg("curtail_mw").alias("after_curtailment_mw"),
-        F.avg("other_generation_mw").alias("_other"), F.avg(F.col("discharge_mw") - F.col("charge_mw")).alias("_net"),
+        mean(demand).alias("after_demand_mw"), mean(F.col("used_mw")).alias("after_renewable_mw"), mean(F.col("curtail_mw")).alias("after_curtailment_mw"),
+        mean(F.col("other_generation_mw")).alias("_other"), mean(F.col("discharge_mw") - F.col("charge_mw")).alias("_net"),
         F.first("grid_capacity_mw").alias("_capacity"),
     )
     net = F.greatest(zero, F.col("after_demand_mw") - F.col("after_renewable_mw") - F.col("_other") - F.col("_net"))

@@ -93,31 +93,40 @@ def dispatched(t):
     return d.dispatch_rows(v.candidate_plans(t), v.scenario_periods(t), v.resources(t))
 
 
-CHECKS = ["missing", "negative", "soc", "charge", "discharge", "both", "ev", "ind", "curtail", "capacity"]
+def dispatched_impossible(t):
+    """Also with plans that cannot be carried out and resources that are not there."""
+    return d.dispatch_rows(v.impossible_plans(t), v.scenario_periods(t), v.partial_resources(t))
+
+
+CHECKS = ["missing", "unknown", "negative", "soc", "charge", "discharge", "both", "ev", "ind", "curtail", "capacity"]
 COUNTS = ", ".join(f"CAST({c}_violations AS BIGINT) AS {c}_violations" for c in CHECKS)
 FEASIBLE = " + ".join(f"{c}_violations" for c in CHECKS) + " = 0"
 AFTER = ["after_demand_mw", "after_renewable_mw", "after_curtailment_mw", "after_stress"]
 
 
-@query("dispatch_eval", f"SELECT scenario_id, plan_id, cost, deficit_mw, oversupply_mw, {COUNTS}, {', '.join(AFTER)}, {FEASIBLE} AS feasible FROM dispatch_cost", ["cost", "deficit_mw", "oversupply_mw", *AFTER])
+@query("dispatch_eval", f"SELECT scenario_id, plan_id, cost, deficit_mw, oversupply_mw, {COUNTS}, {', '.join(AFTER)}, {FEASIBLE} AS feasible FROM impossible_cost", ["cost", "deficit_mw", "oversupply_mw", *AFTER])
 def dispatch_eval(t):
-    return d.dispatch_eval(dispatched(t))
+    return d.dispatch_eval(dispatched_impossible(t))
 
 
 @query("violation_list", """
-    SELECT scenario_id, plan_id, period, violated FROM (SELECT *, unnest([CASE WHEN least(charge_mw, discharge_mw, ev_shift_mw, ind_shift_mw, curtail_mw) < -1e-6 THEN 'negative' END, CASE WHEN soc_mwh < min_soc_mwh - 1e-6 OR soc_mwh > max_soc_mwh + 1e-6 THEN 'soc' END,
-        CASE WHEN discharge_mw > max_discharge_mw + 1e-6 THEN 'discharge' END, CASE WHEN charge_mw > 1e-6 AND discharge_mw > 1e-6 THEN 'both' END,
-        CASE WHEN other_generation_mw + used_mw + discharge_mw > grid_capacity_mw + 1e-6 THEN 'capacity' END]) AS violated FROM dispatch_rows) WHERE violated IS NOT NULL""")
+    SELECT scenario_id, plan_id, period, violated FROM (SELECT *, unnest([CASE WHEN NOT listed THEN 'missing' END, CASE WHEN NOT known THEN 'unknown' END,
+        CASE WHEN least(charge_mw, discharge_mw, ev_shift_mw, ind_shift_mw, curtail_mw) < -1e-6 THEN 'negative' END, CASE WHEN soc_mwh < min_soc_mwh - 1e-6 OR soc_mwh > max_soc_mwh + 1e-6 THEN 'soc' END,
+        CASE WHEN charge_mw > max_charge_mw + 1e-6 THEN 'charge' END, CASE WHEN discharge_mw > max_discharge_mw + 1e-6 THEN 'discharge' END,
+        CASE WHEN charge_mw > 1e-6 AND discharge_mw > 1e-6 THEN 'both' END, CASE WHEN ev_shift_mw > ev_fraction * ev_demand_mw + 1e-6 THEN 'ev' END,
+        CASE WHEN ind_shift_mw > least(ind_fraction * industrial_demand_mw, ind_cap_mw) + 1e-6 THEN 'ind' END,
+        CASE WHEN curtail_mw < -1e-6 OR curtail_mw > solar_mw + wind_mw + 1e-6 THEN 'curtail' END,
+        CASE WHEN other_generation_mw + used_mw + discharge_mw > grid_capacity_mw + 1e-6 THEN 'capacity' END]) AS violated FROM impossible_rows) WHERE violated IS NOT NULL""")
 def violation_list(t):
-    return d.violation_texts(dispatched(t))
+    return d.violation_texts(dispatched_impossible(t))
 
 
 @query("rank_plans", f"""
-    WITH e AS (SELECT *, {FEASIBLE} AS feasible FROM dispatch_cost)
+    WITH e AS (SELECT *, {FEASIBLE} AS feasible FROM impossible_cost)
     SELECT scenario_id, arg_min(CASE WHEN feasible THEN plan_id END, CASE WHEN feasible THEN cost END) AS plan_id, min(CASE WHEN feasible THEN cost END) AS cost,
         count(CASE WHEN feasible THEN 1 END) AS feasible_plans, CASE WHEN count(CASE WHEN feasible THEN 1 END) = 0 THEN 'infeasible' ELSE 'feasible' END AS status FROM e GROUP BY 1""", ["cost"])
 def rank_plans(t):
-    return d.rank_plans(d.dispatch_eval(dispatched(t)))
+    return d.rank_plans(d.dispatch_eval(dispatched_impossible(t)))
 
 
 @query("curtail_attribution", """

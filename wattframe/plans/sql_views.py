@@ -111,6 +111,46 @@ SQL_VIEWS: dict[str, str] = {
             avg(demand_mw - ev_shift_mw - ind_shift_mw) AS after_demand_mw, avg(used_mw) AS after_renewable_mw, avg(curtail_mw) AS after_curtailment_mw,
             least(1.0, greatest(0.0, avg(demand_mw - ev_shift_mw - ind_shift_mw) - avg(used_mw) - avg(other_generation_mw) - avg(discharge_mw - charge_mw)) / any_value(grid_capacity_mw)) AS after_stress
         FROM dispatch_rows GROUP BY scenario_id, plan_id""",
+    "impossible_plans": """
+        SELECT * FROM plans UNION ALL SELECT * REPLACE ('gaps' AS plan_id, 0.125 AS ev_shift_mw) FROM plans WHERE plan_id = 'mixed' AND period <> 2
+        UNION ALL SELECT * REPLACE ('drain' AS plan_id, CASE WHEN period = 1 THEN -3.0 ELSE charge_mw END AS charge_mw) FROM plans WHERE plan_id = 'store'
+        UNION ALL SELECT * REPLACE ('beyond' AS plan_id, curtail_mw + 0.0625 AS curtail_mw) FROM plans WHERE plan_id = 'idle'
+        UNION ALL SELECT * REPLACE ('beyond' AS plan_id, 7 AS period, 900.0 AS discharge_mw, 0.0 AS curtail_mw) FROM plans WHERE plan_id = 'idle' AND period = 0""",
+    "partial_resources": """
+        SELECT * REPLACE (CASE WHEN kind <> 0 THEN grid_capacity_mw END AS grid_capacity_mw, CASE WHEN kind <> 2 THEN current_soc_mwh END AS current_soc_mwh,
+            CASE WHEN kind <> 2 THEN min_soc_mwh END AS min_soc_mwh, CASE WHEN kind <> 2 THEN max_soc_mwh END AS max_soc_mwh, CASE WHEN kind <> 2 THEN max_charge_mw END AS max_charge_mw,
+            CASE WHEN kind <> 2 THEN max_discharge_mw END AS max_discharge_mw, CASE WHEN kind <> 2 THEN efficiency END AS efficiency)
+        FROM (SELECT *, floor(current_soc_mwh)::BIGINT % 5 AS kind FROM resources) WHERE kind <> 1""",
+    "impossible_rows": """
+        SELECT *, solar_mw + wind_mw - curtail_mw AS used_mw,
+            (demand_mw - ev_shift_mw - ind_shift_mw) - (other_generation_mw + (solar_mw + wind_mw - curtail_mw) + discharge_mw - charge_mw) AS residual,
+            current_soc_mwh + sum(sqrt(efficiency) * charge_mw * 0.25 - discharge_mw / sqrt(efficiency) * 0.25) OVER (PARTITION BY scenario_id, plan_id ORDER BY period) AS soc_mwh
+        FROM (SELECT scenario_id, plan_id, period, known IS NOT NULL AS known, listed IS NOT NULL AS listed,
+                coalesce(demand_mw, 0) AS demand_mw, coalesce(solar_mw, 0) AS solar_mw, coalesce(wind_mw, 0) AS wind_mw, coalesce(other_generation_mw, 0) AS other_generation_mw,
+                coalesce(ev_demand_mw, 0) AS ev_demand_mw, coalesce(industrial_demand_mw, 0) AS industrial_demand_mw, coalesce(charge_mw, 0) AS charge_mw, coalesce(discharge_mw, 0) AS discharge_mw,
+                coalesce(ev_shift_mw, 0) AS ev_shift_mw, coalesce(ind_shift_mw, 0) AS ind_shift_mw, coalesce(curtail_mw, 0) AS curtail_mw, coalesce(grid_capacity_mw, 0) AS grid_capacity_mw,
+                coalesce(current_soc_mwh, 0) AS current_soc_mwh, coalesce(min_soc_mwh, 0) AS min_soc_mwh, coalesce(max_soc_mwh, 0) AS max_soc_mwh, coalesce(max_charge_mw, 0) AS max_charge_mw,
+                coalesce(max_discharge_mw, 0) AS max_discharge_mw, coalesce(efficiency, 1) AS efficiency, coalesce(ev_fraction, 0) AS ev_fraction, coalesce(ind_fraction, 0) AS ind_fraction, ind_cap_mw
+            FROM (SELECT q.plan_id, s.*, true AS known FROM (SELECT DISTINCT scenario_id, plan_id FROM impossible_plans) q JOIN scenario_periods s USING (scenario_id))
+                FULL JOIN (SELECT *, true AS listed FROM impossible_plans) USING (scenario_id, plan_id, period) LEFT JOIN partial_resources USING (scenario_id))""",
+    "impossible_cost": """
+        SELECT scenario_id, plan_id, any_value(grid_capacity_mw) AS grid_capacity_mw,
+            sum(10 * curtail_mw + 100 * greatest(residual, 0) + greatest(-residual, 0) + 0.5 * (charge_mw + discharge_mw) + 2 * ev_shift_mw + 3 * ind_shift_mw) AS cost,
+            sum(greatest(residual, 0)) AS deficit_mw, sum(greatest(-residual, 0)) AS oversupply_mw,
+            sum(CASE WHEN listed THEN 0 ELSE 1 END) AS missing_violations, sum(CASE WHEN known THEN 0 ELSE 1 END) AS unknown_violations, sum(CASE WHEN least(charge_mw, discharge_mw, ev_shift_mw, ind_shift_mw, curtail_mw) < -1e-6 THEN 1 ELSE 0 END) AS negative_violations,
+            sum(CASE WHEN soc_mwh < min_soc_mwh - 1e-6 OR soc_mwh > max_soc_mwh + 1e-6 THEN 1 ELSE 0 END) AS soc_violations,
+            sum(CASE WHEN charge_mw > max_charge_mw + 1e-6 THEN 1 ELSE 0 END) AS charge_violations,
+            sum(CASE WHEN discharge_mw > max_discharge_mw + 1e-6 THEN 1 ELSE 0 END) AS discharge_violations,
+            sum(CASE WHEN charge_mw > 1e-6 AND discharge_mw > 1e-6 THEN 1 ELSE 0 END) AS both_violations,
+            sum(CASE WHEN ev_shift_mw > ev_fraction * ev_demand_mw + 1e-6 THEN 1 ELSE 0 END) AS ev_violations,
+            sum(CASE WHEN ind_shift_mw > least(ind_fraction * industrial_demand_mw, ind_cap_mw) + 1e-6 THEN 1 ELSE 0 END) AS ind_violations,
+            sum(CASE WHEN curtail_mw < -1e-6 OR curtail_mw > solar_mw + wind_mw + 1e-6 THEN 1 ELSE 0 END) AS curtail_violations,
+            sum(CASE WHEN other_generation_mw + used_mw + discharge_mw > grid_capacity_mw + 1e-6 THEN 1 ELSE 0 END) AS capacity_violations,
+            avg(CASE WHEN known THEN demand_mw - ev_shift_mw - ind_shift_mw END) AS after_demand_mw, avg(CASE WHEN known THEN used_mw END) AS after_renewable_mw,
+            avg(CASE WHEN known THEN curtail_mw END) AS after_curtailment_mw,
+            CASE WHEN any_value(grid_capacity_mw) <= 0 THEN 1.0 ELSE least(1.0, greatest(0.0, avg(CASE WHEN known THEN demand_mw - ev_shift_mw - ind_shift_mw END) - avg(CASE WHEN known THEN used_mw END)
+                - avg(CASE WHEN known THEN other_generation_mw END) - avg(CASE WHEN known THEN discharge_mw - charge_mw END)) / any_value(grid_capacity_mw)) END AS after_stress
+        FROM impossible_rows GROUP BY scenario_id, plan_id""",
     "statuses": """
         SELECT p.asset_id, split_part(p.asset_id, '-', 2) AS zone_id, asset_type, timestamp, expected_mw, actual_mw, performance_ratio, percentage_deviation,
             coalesce(performance_ratio < 0.5, true) AS anomaly

@@ -184,6 +184,26 @@ def candidate_plans(t: Tables) -> DataFrame:
     )
 
 
+def impossible_plans(t: Tables) -> DataFrame:
+    """The candidates and three that cannot be carried out: one leaves a period out, one charges less than nothing, one acts in a period that no scenario has."""
+    plans = candidate_plans(t)
+    other = lambda name, base: plans.where(F.col("plan_id") == base).withColumn("plan_id", F.lit(name))
+    beyond = other("beyond", "idle").withColumn("curtail_mw", F.col("curtail_mw") + 0.0625)  # small differences, so no two plans of a scenario cost the same
+    far = beyond.where("period = 0").withColumns({"period": F.lit(7).cast("long"), "discharge_mw": F.lit(900.0), "curtail_mw": F.lit(0.0)})
+    gaps = other("gaps", "mixed").where("period <> 2").withColumn("ev_shift_mw", F.lit(0.125))
+    drain = other("drain", "store").withColumn("charge_mw", F.when(F.col("period") == 1, -3.0).otherwise(F.col("charge_mw")))
+    return plans.unionByName(gaps).unionByName(drain).unionByName(beyond).unionByName(far)
+
+
+def partial_resources(t: Tables) -> DataFrame:
+    """Resources of which a fifth has no grid capacity, a fifth no battery, and a fifth of the scenarios none at all."""
+    rows, kind = resources(t), F.floor("current_soc_mwh") % 5
+    battery = ("current_soc_mwh", "min_soc_mwh", "max_soc_mwh", "max_charge_mw", "max_discharge_mw", "efficiency")
+    return rows.where(kind != 1).withColumns({
+        "grid_capacity_mw": F.when(kind != 0, F.col("grid_capacity_mw")), **{c: F.when(kind != 2, F.col(c)) for c in battery},
+    })
+
+
 def statuses(t: Tables) -> DataFrame:
     return perf(t).select(
         "asset_id", F.substring_index("asset_id", "-", -1).alias("zone_id"), "asset_type", "timestamp", "expected_mw", "actual_mw",
