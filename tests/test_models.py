@@ -60,3 +60,27 @@ def test_spike_model_finds_the_planted_classes(spark):
     out = boosted.spike_fit(frame, names=names, iterations=20).predict(frame).collect()
     assert sum(r.predicted_class == r.spike_class for r in out) > 0.95 * len(out)
     assert all(1 / 3 - 1e-9 <= r.probability <= 1 and r.level == ("normal", "moderate", "severe")[r.predicted_class] for r in out)
+
+
+def test_best_prefix_waits_out_a_worse_stretch():
+    curve = [5.0, 4.0, 4.5, 4.4, 3.0, 3.1, 3.2, 2.9, *[3.0] * 40]
+    assert boosted.best_prefix(curve, 30) == (8, True) and boosted.best_prefix(curve, 2) == (2, True) and boosted.best_prefix(curve[:20], 30) == (8, False)
+    assert boosted.best_prefix([1.0], 30) == (1, False) and boosted.best_prefix([float("nan"), 2.0, 1.0], 5)[0] == 1
+
+
+def test_a_fit_goes_on_after_a_worse_tree_and_keeps_the_best_prefix(spark):
+    """Held-out errors rise where the trees learn a part that is wrong there, and fall below what they were as the rest is learnt."""
+    rng = random.Random(4)
+    rows = [(i % 5 == 0, float(x := rng.randrange(60)), rng.random(), 2.0 * x + 12 * math.sin(x) + rng.gauss(0, 9)) for i in range(700)]
+    frame = boosted.assemble(spark.createDataFrame(rows, "held boolean, x double, y double, target double"), ["x", "y"], ["held", "target"]).coalesce(1).persist()
+    curves = {}
+    for step in (0.3, 0.6, 0.9):
+        whole = boosted.GBTRegressor(labelCol="target", maxIter=24, stepSize=step, maxDepth=2, seed=C.FOREST_SEED).fit(frame.where("NOT held"))
+        curves[step] = whole.evaluateEachIteration(frame.where("held"), "squared")
+    rises = {step: next((i for i in range(1, 24) if c[i] >= c[i - 1]), 24) for step, c in curves.items()}
+    step = max(curves, key=lambda s: boosted.best_prefix(curves[s], 8)[0] - rises[s])
+    kept = boosted.best_prefix(curves[step], 8)[0]
+    assert kept > rises[step], "no curve of this fixture recovers after a worse tree"
+    fitted = boosted.fit_regressor(frame, "target", 24, "held", step=step, depth=2, patience=8)
+    again = fitted.evaluateEachIteration(frame.where("held"), "squared")
+    assert fitted.getNumTrees == kept == len(again) and again[-1] == curves[step][kept - 1] < curves[step][rises[step] - 1]

@@ -38,15 +38,13 @@ def generation_fit(t):
     """Pooled solar and wind regressors with absolute loss, scored on the last fifth of each series."""
     hourly = s.holdout_split(f.hourly_feature_frame(v.hourly(t)).na.drop(subset=["lag_168", "roll_mean_168"]))
     frame = cut_lineage(hourly)
+    names = [*f.HOURLY_FEATURES, "lagged_generation_ratio", "capacity_available"]
+    rows = lambda kind, part: frame.where((F.col("energy_type") == kind) & (F.col("split") == part))
+    fit = lambda kind: lambda: boosted.pooled_fit(rows(kind, "train"), names, "actual_mw", C.HOURLY_ROUNDS, "absolute")
+    fitted = boosted.fit_together({kind: fit(kind) for kind in C.MAPE_RULES if kind != "hourly"})
     parts = []
-    for kind in C.MAPE_RULES:
-        if kind == "hourly":
-            continue
-        rows = frame.where(F.col("energy_type") == kind)
-        names = [*f.HOURLY_FEATURES, "lagged_generation_ratio", "capacity_available"]
-        fitted = boosted.pooled_fit(rows.where(F.col("split") == "train"), names, "actual_mw", C.HOURLY_ROUNDS, "absolute")
-        scored = fitted.predict(rows.where(F.col("split") == "validation"), "predicted", floor=0.0)
-        parts.append(m.gen_metrics(scored, ["energy_type"], "hourly", "actual_mw", "predicted"))
+    for kind, model in fitted.items():
+        parts.append(m.gen_metrics(model.predict(rows(kind, "validation"), "predicted", floor=0.0), ["energy_type"], "hourly", "actual_mw", "predicted"))
     return parts[0].unionByName(parts[1])
 
 
@@ -134,11 +132,9 @@ def cause_rows(t):
 
 def deviation_models(t):
     frame = cut_lineage(s.chronological_split(cause_rows(t)).where(F.col("percentage_deviation").isNotNull() & (F.col("expected_mw") > C.CAUSE_MIN_EXPECTED_MW)))
-    fitted = {}
-    for kind in ("solar", "wind"):
-        rows = frame.where((F.col("asset_type") == kind) & (F.col("split") == "train"))
-        fitted[kind] = boosted.pooled_fit(rows, CAUSE_FEATURES, "percentage_deviation", C.CAUSE_ROUNDS, depth=C.CAUSE_DEPTH)
-    return fitted, frame
+    rows = lambda kind: frame.where((F.col("asset_type") == kind) & (F.col("split") == "train"))
+    fit = lambda kind: lambda: boosted.pooled_fit(rows(kind), CAUSE_FEATURES, "percentage_deviation", C.CAUSE_ROUNDS, depth=C.CAUSE_DEPTH)
+    return boosted.fit_together({kind: fit(kind) for kind in ("solar", "wind")}), frame
 
 
 @query("deviation_fit")
