@@ -84,3 +84,19 @@ def test_a_fit_goes_on_after_a_worse_tree_and_keeps_the_best_prefix(spark):
     fitted = boosted.fit_regressor(frame, "target", 24, "held", step=step, depth=2, patience=8)
     again = fitted.evaluateEachIteration(frame.where("held"), "squared")
     assert fitted.getNumTrees == kept == len(again) and again[-1] == curves[step][kept - 1] < curves[step][rises[step] - 1]
+
+
+def test_no_forecast_sees_its_own_future(spark):
+    """Changed demand from one stamp on changes no cross-fitted forecast before it; each fold's model has learnt earlier folds only."""
+    rows = demand(spark, 700)
+    cut = quarter(420)
+    later = rows.withColumn("demand_mw", F.when(F.col("timestamp") >= F.lit(cut), F.col("demand_mw") * 3 + 7).otherwise(F.col("demand_mw")))
+    result = {}
+    for name, table in (("as_is", rows), ("changed", later)):
+        frame = boosted.cross_fit_frame(f.demand_feature_frame(table, weather(spark)))
+        assert frame.where("fold = 1").agg(F.max("_target")).first()[0] is not None
+        result[name] = {r.timestamp: (r.fold, r.forecast_mw) for r in boosted.cross_fitted_forecast(frame, iterations=6).collect()}
+    before = [x for x in result["as_is"] if x < cut]
+    assert before and all(result["as_is"][x] == result["changed"][x] for x in before)
+    assert any(result["as_is"][x] != result["changed"][x] for x in result["as_is"] if x >= cut)
+    assert {fold for fold, _ in result["as_is"].values()} == {0, 1, 2, 3} and all((y is None) == (fold == 0) for fold, y in result["as_is"].values())

@@ -88,6 +88,7 @@ BAND_Z = 1.96
 
 # Boosting: the most rounds of each model and its tree depth. All stop earlier once held-out rows no longer gain.
 DEMAND_ROUNDS, HOURLY_ROUNDS, SPIKE_ROUNDS, CAUSE_ROUNDS = 500, 350, 300, 160
+CROSS_FOLDS = 3  # stretches of the train part that are forecast by models of earlier ones
 PATIENCE = 30  # rounds without a smaller validation error that end a fit
 TREE_DEPTH, CAUSE_DEPTH = 5, 3
 

@@ -106,11 +106,11 @@ def peak_24h(df: DataFrame, value: str = "demand_mw", backfill: bool = False) ->
 
 
 def spike_feature_frame(df: DataFrame, weather: DataFrame | None = None, forecast: str | None = None, value: str = "demand_mw") -> DataFrame:
-    """The 14 spike inputs. Without a model the forecast is the previous value."""
+    """The 14 spike inputs. Where there is no forecast (column `forecast` of `df`) it is the previous value."""
     rows = row_windows(
         df, lambda w: [peak_column(value, w).alias("historical_peak_24h"), F.lag(value, 1).over(w).alias("_lag")], before=C.DAY_STEPS
     )
-    rows = rows.withColumn("forecast_load", at_least(forecast, 0.0) if forecast else F.col("_lag"))
+    rows = rows.withColumn("forecast_load", F.coalesce(at_least(forecast, 0.0), F.col("_lag")) if forecast else F.col("_lag"))
     if weather is not None:
         rows = weather_left(rows, weather)
     source = {

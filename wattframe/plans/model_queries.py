@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wattframe import constants as C
@@ -58,7 +59,9 @@ def forecast_points(t):
     scored = cut_lineage(boosted.forecast_points(fitted.predict(usable), fitted.rmse))
     spikes, _ = spike_models(t)
     keys = ["asset_id", "timestamp"]
-    risk = spikes.predict(f.spike_feature_frame(v.demand(t), v.weather(t)).join(usable.select(*keys), keys, "left_semi"))
+    next_quarter = scored.select(*keys, F.col("predicted_15").alias("forecast_mw"))
+    inputs = f.spike_feature_frame(v.demand(t).join(next_quarter, keys, "left"), v.weather(t), "forecast_mw")
+    risk = spikes.predict(inputs.join(usable.select(*keys), keys, "left_semi"))
     records = boosted.forecast_contract(scored.join(risk.select(*keys, "level", "probability"), keys, "left"))
     points = records.select(
         "zone_id", "generated_at", "horizon_minutes", F.explode("points").alias("_p"), "spike_risk.level", "spike_risk.probability", "spike_risk.predicted_peak_mw"
@@ -98,8 +101,36 @@ def anomaly_forest_hourly(t):
     return m.anomaly_manifest(found, ["asset_id", "energy_type"])
 
 
+def crossed(t):
+    """Demand rows with the 15-minute forecast of a model that has not seen them."""
+    return boosted.cross_fitted_forecast(boosted.cross_fit_frame(f.demand_feature_frame(v.demand(t), v.weather(t))))
+
+
+_FULL = " AND ".join(f"{c} IS NOT NULL" for c in (*LAG_NAMES, *ROLL_NAMES))
+
+
+@query("spike_cross_fit", f"""
+    WITH f AS ({DEMAND_FRAME_SQL}),
+    p AS (SELECT asset_id, timestamp, split, CASE WHEN split = 'train' THEN CAST(floor((pos - 1) * {C.CROSS_FOLDS} / floor(n * 0.7::DOUBLE)) AS BIGINT) ELSE {C.CROSS_FOLDS} END AS fold FROM splits),
+    l AS (SELECT *, lead(fold) OVER (PARTITION BY asset_id ORDER BY timestamp) = fold AS within FROM p),
+    r AS (SELECT l.* FROM f JOIN l ON f.asset_id = l.asset_id AND f.timestamp = l.timestamp WHERE {_FULL}),
+    c AS (SELECT fold, split, count(*) AS rows FROM r GROUP BY 1, 2)
+    SELECT fold, split, rows, CASE WHEN fold = 0 THEN 0 ELSE rows END AS forecasts, (SELECT count(*) FROM r WHERE r.fold < c.fold AND within) AS learnt_rows, 0 AS negative FROM c""")
+def spike_cross_fit(t):
+    """Rows of each fold, those with a forecast, and the rows its model learnt."""
+    frame = cut_lineage(boosted.cross_fit_frame(f.demand_feature_frame(v.demand(t), v.weather(t))))
+    counted = boosted.cross_fitted_forecast(frame).groupBy("fold", "split").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("forecast_mw").alias("forecasts"), F.count_if(F.col("forecast_mw") < 0).alias("negative")
+    )
+    known = frame.groupBy("fold").agg(F.count("_target").alias("_n"))
+    earlier = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)  # one row per fold
+    learnt = known.select("fold", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("learnt_rows"))
+    return counted.join(learnt, "fold")
+
+
 def spike_models(t):
-    rows = f.spike_feature_frame(v.demand(t), v.weather(t))
+    forecasts = cut_lineage(crossed(t)).select("asset_id", "timestamp", "forecast_mw")
+    rows = f.spike_feature_frame(v.demand(t).join(forecasts, ["asset_id", "timestamp"], "left"), v.weather(t), "forecast_mw")
     limits = s.spike_thresholds(train_growth(t))
     labelled = attach(s.with_growth(v.split(t)), limits, ["asset_id"], "inner").select(
         "asset_id", "timestamp", "split", s.spike_class(F.col("growth_pct"), F.col("moderate_growth_pct"), F.col("severe_growth_pct")).alias("spike_class")
