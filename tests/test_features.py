@@ -1,10 +1,11 @@
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import ordered, series
+from helpers import ordered, quarter, series
 from wattframe.functions.calendar import with_calendar, with_holiday
 from wattframe.functions.physics import solar_position, turbine_fraction
 from wattframe.operators import features as f
@@ -79,6 +80,26 @@ def test_interpolation_holds_the_end_and_not_the_start(spark):
     assert got == [None, None, 10, 12.5, 15, 17.5, 20, 20, 20, 20, 20, 20]
 
 
+def test_versions_hold_for_their_hour_and_their_time_of_issue(spark):
+    """Against all pairs: the newest revision for the hour of the valid time that was issued by the decision."""
+    rng = random.Random(21)
+    at = lambda minutes: quarter(0) + timedelta(minutes=minutes)
+    revisions = [("a", at(60 * rng.randrange(30)), at(rng.randrange(0, 1800, 20)), float(i)) for i in range(400)] + [("b", at(0), at(5), 1.0), ("a", None, at(0), 9.0), ("a", at(0), None, 9.0)]
+    asks = [(a, at(15 * i), at(15 * i + h)) for a in "abc" for i in range(120) for h in (15, 60, 600)] + [("a", None, at(0)), ("a", at(0), None)]
+    got = j.versioned_asof(
+        spark.createDataFrame(asks, "asset_id string, decided_at timestamp, valid_at timestamp"),
+        spark.createDataFrame(revisions, "asset_id string, valid_at timestamp, available_at timestamp, cloud_cover double"), ["cloud_cover"],
+    ).collect()
+    assert len(got) == len(asks)
+    for r in got:
+        fits = [
+            (available, value) for asset, valid, available, value in revisions
+            if None not in (valid, available, r.valid_at, r.decided_at) and asset == r.asset_id and valid == r.valid_at.replace(minute=0) and available <= r.decided_at
+        ]
+        assert (r.known_available_at, r.cloud_cover) == max(fits, default=(None, None))
+    assert sum(r.cloud_cover is not None for r in got) > 100
+
+
 def test_asof_uses_only_what_was_available(spark):
     t = datetime(2024, 1, 1)
     facts = spark.createDataFrame([("a", t, 1.0), ("a", t + timedelta(days=2), 2.0)], "asset_id string, available_at timestamp, v double")

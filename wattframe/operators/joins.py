@@ -79,6 +79,23 @@ def asof_join(
     return decisions.join(found, [*keys, decided_at], "left")
 
 
+def versioned_asof(
+    decisions: DataFrame, revisions: DataFrame, columns: Sequence[str], valid_at: str = "valid_at", decided_at: str = "decided_at", available_at: str = "available_at",
+    step: int = 3600, keys: Sequence[str] = ASSET,
+) -> DataFrame:
+    """For each decision the newest revision, available by then, of the values that hold at its valid time.
+
+    Two time axes: the valid time picks the slot of `step` seconds that both sides share, the availability picks the revision within it. Slots are series of
+    their own in one merge, in which the last known revision is carried along the availability; a revision issued after the decision is never seen, even if it holds for an
+    earlier time. A decision without a valid or decision time, or without a revision in time, has null columns.
+    """
+    slot = "_slot"
+    slotted = lambda df: df.withColumn(slot, F.floor(epoch(valid_at) / step))
+    facts = slotted(revisions.select(*keys, valid_at, available_at, *columns)).where(F.col(slot).isNotNull() & F.col(available_at).isNotNull()).drop(valid_at)
+    asked = slotted(decisions.drop(*[c for c in columns if c in decisions.columns]))
+    return asof_join(asked, facts, decided_at, available_at, columns, [*keys, slot]).drop(slot)
+
+
 def asof_history(df: DataFrame, origins: DataFrame, origin: str = "origin", rows: int = C.DAY_STEPS, keys: Sequence[str] = ASSET, ts: str = TS) -> DataFrame:
     """The trailing `rows` rows up to each origin, as (origin, offset, ...) with offset 0 the newest.
 

@@ -13,6 +13,8 @@ from wattframe.operators.series import epoch, floor_time, from_epoch, grid
 from wattframe.operators.splits import baselines, stacked_baselines
 from wattframe.plans import views as v
 from wattframe.plans.registry import query
+from wattframe.session import work_folder
+from wattframe.sources import scan
 
 WEATHER = ["cloud_cover", "wind_speed_10m", "temperature_2m"]
 
@@ -96,6 +98,21 @@ def asof_available(t):
     return j.asof_join(asked, rows, "decided_at", "available_at", ["load"])
 
 
+@query("weather_versioned", """
+    WITH o AS (SELECT DISTINCT asset_id, timestamp AS decided_at, h AS horizon_minutes, timestamp + INTERVAL '1 minute' * h AS valid_at FROM raw, (VALUES (15), (30), (60), (180)) x(h)),
+    f AS (SELECT asset_id, valid_at, available_at, max(cloud_cover) AS cloud_cover, max(temperature_2m) AS temperature_2m FROM weather_revisions GROUP BY 1, 2, 3)
+    SELECT o.*, f.available_at AS known_available_at, cloud_cover, temperature_2m
+    FROM o ASOF LEFT JOIN f ON o.asset_id = f.asset_id AND date_trunc('hour', o.valid_at) = f.valid_at AND o.decided_at >= f.available_at""", ["cloud_cover", "temperature_2m"])
+def weather_versioned(t):
+    """Forecast weather at each horizon of each quarter hour, as known then. The revisions are written as versioned weather files and scanned from there."""
+    folder = work_folder(t.spark, "forecast")
+    v.weather_revisions(t).withColumnRenamed("asset_id", "station").write.parquet(f"{folder}/weather_forecasts_versioned")
+    revisions = scan.scan_weather(t.spark, folder, versioned=True).drop("asset_id", "source_path").withColumnRenamed("station", "asset_id")
+    asked = v.raw(t).select("asset_id", F.col("timestamp").alias("decided_at")).distinct().withColumn("horizon_minutes", F.explode(F.array(*[F.lit(h) for h in (15, 30, 60, 180)])))
+    asked = asked.withColumn("valid_at", from_epoch(epoch("decided_at") + F.col("horizon_minutes") * 60))
+    return j.versioned_asof(asked, revisions, ["cloud_cover", "temperature_2m"])
+
+
 @query("aligned_check", """
     SELECT (SELECT count(*) FROM loads) - (SELECT count(*) FROM loads WHERE load > 0) AS only_left, CAST(0 AS BIGINT) AS only_right,
         (SELECT count(*) FROM loads WHERE load <= 0) = 0 AS aligned""")

@@ -29,6 +29,10 @@ SQL_VIEWS: dict[str, str] = {
             avg(k) / 3 - 5 AS temperature_2m, 40 + avg(k) / 2 AS relative_humidity_2m, 980 + avg(k) / 2 AS surface_pressure,
             avg(k) * 3.6 AS wind_direction_10m, avg(k) * 8 AS shortwave_radiation
         FROM raw GROUP BY 1, 2""",
+    "weather_revisions": """
+        SELECT asset_id, date_trunc('hour', event_time) AS valid_at,
+            date_trunc('hour', event_time) - INTERVAL '1 second' * (tie % 5 * 3600 - CASE WHEN tie % 11 = 0 THEN 1800 ELSE 0 END) AS available_at, k AS cloud_cover, k / 3 - 5 AS temperature_2m
+        FROM raw""",
     "pair": """
         SELECT asset_id, CASE min(kind) WHEN 'error' THEN 'solar' WHEN 'view' THEN 'solar' WHEN 'signup' THEN 'hydro' ELSE 'wind' END AS asset_type,
             timestamp, greatest(0.0, avg(k) - 10) * 0.0987654321 AS expected_mw, avg(value - 1) * 0.0987654321 AS actual_mw

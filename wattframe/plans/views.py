@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.operators.diagnose import classify_deviation, performance
-from wattframe.operators.series import Running, floor_time, grid, positions, row_windows, running
+from wattframe.operators.series import Running, epoch, floor_time, from_epoch, grid, positions, row_windows, running
 from wattframe.operators.splits import chronological_split
 from wattframe.plans.registry import Tables
 
@@ -69,6 +69,15 @@ def weather(t: Tables) -> DataFrame:
     )
 
 
+def weather_revisions(t: Tables) -> DataFrame:
+    """Forecasts for the hour of each event, issued up to four hours ahead or somewhat late, and issued anew."""
+    hour = floor_time("event_time", 3600)
+    ahead = F.col("tie") % 5 * 3600 - F.when(F.col("tie") % 11 == 0, 1800).otherwise(0)
+    return raw(t).select(
+        "asset_id", hour.alias("valid_at"), from_epoch(epoch(hour) - ahead).alias("available_at"), F.col("k").alias("cloud_cover"), (F.col("k") / 3 - 5).alias("temperature_2m")
+    )
+
+
 def pair(t: Tables) -> DataFrame:
     kind = F.min("kind")
     asset_type = F.when(kind.isin("error", "view"), "solar").when(kind == "signup", "hydro").otherwise("wind")
