@@ -44,6 +44,15 @@ SPIKE_WEATHER_DEFAULTS = {
 GENERATION_LAGS = (1, 2, 4, 8, 96, 192, 672)
 HOURLY_LAGS = (1, 2, 3, 6, 24, 48, 168)
 HOURLY_WINDOWS = (3, 24, 168)
+# Inputs of the hourly cause model, in the order of the stored models; none of them holds the current value.
+HOURLY_CAUSE_FEATURES = (
+    "expected_mw", "capacity_mw", "expected_capacity_ratio",
+    "hour_sin", "hour_cos", "day_of_week_sin", "day_of_week_cos",
+    "day_of_year_sin", "day_of_year_cos", "month_sin", "month_cos",
+    "lag_1", "lag_2", "lag_3", "lag_6", "lag_24", "lag_48", "lag_168",
+    "roll_mean_3", "roll_mean_24", "roll_mean_168",
+)
+HOURLY_CAUSE_MIN_EXPECTED_MW = 1e-3
 
 # Dutch public holidays of 2024.
 HOLIDAYS = {
@@ -88,8 +97,11 @@ BAND_Z = 1.96
 
 # Boosting: the most rounds of each model and its tree depth. All stop earlier once held-out rows no longer gain.
 DEMAND_ROUNDS, HOURLY_ROUNDS, SPIKE_ROUNDS, CAUSE_ROUNDS = 500, 350, 300, 160
+HOURLY_FOLDS = 2  # the same for hourly generation
+HOURLY_CAUSE_ROUNDS, HOURLY_CAUSE_MIN_ROWS = 140, 500
 CROSS_FOLDS = 3  # stretches of the train part that are forecast by models of earlier ones
-PATIENCE = 30  # rounds without a smaller validation error that end a fit
+# Rounds without a smaller validation error that end a fit. Causes are fitted without one elsewhere; theirs is our own.
+PATIENCE, HOURLY_PATIENCE, SPIKE_PATIENCE, CAUSE_PATIENCE = 30, 40, 25, 30
 TREE_DEPTH, CAUSE_DEPTH = 5, 3
 
 # Isolation forest.

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wattframe import constants as C
-from wattframe.models import anomaly, boosted
+from wattframe.models import anomaly, boosted, hourly
 from wattframe.operators import diagnose as g
 from wattframe.operators import features as f
 from wattframe.operators import metrics as m
@@ -20,6 +20,9 @@ from wattframe.plans.window_queries import DEMAND_FRAME_SQL, LAG_NAMES, ROLL_NAM
 from wattframe.session import cut_lineage, work_folder
 
 
+QUERY_ROUNDS = 120  # of the hourly fits in queries; the models' own limit is C.HOURLY_ROUNDS
+
+
 def demand_models(t):
     return boosted.demand_forecast_fit(f.demand_feature_frame(v.demand(t), v.weather(t)))
 
@@ -36,12 +39,12 @@ def demand_forecast_fit(t):
 
 @query("generation_fit")
 def generation_fit(t):
-    """Pooled solar and wind regressors with absolute loss, scored on the last fifth of each series."""
+    """Pooled solar and wind regressors with absolute loss, of at most QUERY_ROUNDS trees, scored on the last fifth of each series."""
     hourly = s.holdout_split(f.hourly_feature_frame(v.hourly(t)).na.drop(subset=["lag_168", "roll_mean_168"]))
     frame = cut_lineage(hourly)
     names = [*f.HOURLY_FEATURES, "lagged_generation_ratio", "capacity_available"]
     rows = lambda kind, part: frame.where((F.col("energy_type") == kind) & (F.col("split") == part))
-    fit = lambda kind: lambda: boosted.pooled_fit(rows(kind, "train"), names, "actual_mw", C.HOURLY_ROUNDS, "absolute")
+    fit = lambda kind: lambda: boosted.pooled_fit(rows(kind, "train"), names, "actual_mw", QUERY_ROUNDS, "absolute", patience=C.HOURLY_PATIENCE)
     fitted = boosted.fit_together({kind: fit(kind) for kind in C.MAPE_RULES if kind != "hourly"})
     parts = []
     for kind, model in fitted.items():
@@ -226,3 +229,26 @@ def model_artifacts(t):
     )
     off = both.agg(F.count(F.lit(1)).alias("rows"), *[F.max(F.abs(F.col(f"a{h}") - F.col(f"b{h}"))).alias(f"off_{h}") for h in fitted.models])
     return off
+
+
+_HOURLY_READY = ", ".join([*[f"lag(actual_mw, {k}) OVER w AS lag_{k}" for k in C.HOURLY_LAGS], *[f"count(actual_mw) OVER (w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) = {n} AS full_{n}" for n in C.HOURLY_WINDOWS]])
+_HOURLY_COMPLETE = " AND ".join([*[f"lag_{k} IS NOT NULL" for k in C.HOURLY_LAGS], *[f"full_{n}" for n in C.HOURLY_WINDOWS]])
+
+
+@query("hourly_status", f"""
+    WITH p AS (SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY asset_id) AS n, {_HOURLY_READY} FROM hourly WINDOW w AS (PARTITION BY asset_id ORDER BY timestamp)),
+    e AS (SELECT *, {_HOURLY_COMPLETE} AS eligible, CASE WHEN pos <= floor(n * 0.8::DOUBLE) THEN CAST(floor((pos - 1) * {C.HOURLY_FOLDS} / floor(n * 0.8::DOUBLE)) AS BIGINT) ELSE {C.HOURLY_FOLDS} END AS fold FROM p),
+    k AS (SELECT energy_type, min(CASE WHEN eligible THEN fold END) AS oldest FROM e GROUP BY 1),
+    x AS (SELECT e.*, eligible AND fold > oldest AS forecast FROM e JOIN k USING (energy_type)),
+    a AS (SELECT asset_id, timestamp, row_number() OVER (PARTITION BY asset_id ORDER BY timestamp) AS place, count(*) OVER (PARTITION BY asset_id) AS size FROM x WHERE forecast AND actual_mw IS NOT NULL)
+    SELECT x.asset_id, energy_type, count(*) AS rows, count(CASE WHEN forecast THEN 1 END) AS expected_rows,
+        count(CASE WHEN size >= 30 AND place > floor(size * 0.8::DOUBLE) THEN 1 END) AS evaluated_rows, 0 AS unexplained_categories, 0 AS negative_expectations
+    FROM x LEFT JOIN a ON x.asset_id = a.asset_id AND x.timestamp = a.timestamp GROUP BY 1, 2""")
+def hourly_status(t):
+    """The whole chain over all hours; per series: hours, those with an expectation, those evaluated, and those that break a rule of the status."""
+    status = hourly.hourly_status(v.hourly(t), iterations=QUERY_ROUNDS // 2)
+    known = F.col("root_cause") != hourly.NO_EVIDENCE
+    return status.groupBy("asset_id", "energy_type").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("expected_mw").alias("expected_rows"), F.count("anomaly_flag").alias("evaluated_rows"),
+        F.count_if(known & ~F.coalesce("anomaly_flag", F.lit(False))).alias("unexplained_categories"), F.count_if(F.col("expected_mw") < 0).alias("negative_expectations"),
+    )
