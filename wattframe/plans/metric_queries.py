@@ -58,13 +58,13 @@ def spike_thresholds(t):
     WITH p AS (SELECT asset_id, timestamp, demand_mw, lag(demand_mw) OVER w AS prev, max(demand_mw) OVER (PARTITION BY asset_id ORDER BY timestamp) AS peak FROM demand WINDOW w AS (PARTITION BY asset_id ORDER BY timestamp)),
     c AS (SELECT *, (demand_mw / nullif(prev, 0) - 1) * 100 AS x FROM p), th AS (SELECT asset_id, quantile_cont(x, 0.90) AS moderate_pct, quantile_cont(x, 0.99) AS severe_pct FROM c WHERE x > 0 GROUP BY 1)
     SELECT c.asset_id, CASE WHEN x >= severe_pct THEN 2 WHEN x >= moderate_pct THEN 1 WHEN x IS NOT NULL THEN 0 END AS spike_class, count(*) AS rows, max(peak) AS historical_peak
-    FROM c JOIN th ON c.asset_id = th.asset_id GROUP BY 1, 2""", ["historical_peak"])
+    FROM c LEFT JOIN th ON c.asset_id = th.asset_id GROUP BY 1, 2""", ["historical_peak"])
 def spike_thresholds_positive(t):
     rows = running(v.demand(t), [Running("prev_mw", "prev", F.col("demand_mw")), Running("peak", "max", F.col("demand_mw"))])
     limits = s.positive_growth_thresholds(rows)
     growth = (F.col("demand_mw") / F.nullif(F.col("prev_mw"), F.lit(0.0)) - 1) * 100
     label = s.spike_class(growth, F.col("moderate_pct"), F.col("severe_pct"), None)
-    return attach(rows, limits, ["asset_id"], "inner").groupBy("asset_id", label.alias("spike_class")).agg(
+    return attach(rows, limits, ["asset_id"]).groupBy("asset_id", label.alias("spike_class")).agg(
         F.count(F.lit(1)).alias("rows"), F.max("peak").alias("historical_peak")
     )
 

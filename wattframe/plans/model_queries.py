@@ -135,7 +135,7 @@ def spike_models(t):
     forecasts = cut_lineage(crossed(t)).select("asset_id", "timestamp", "forecast_mw")
     rows = f.spike_feature_frame(v.demand(t).join(forecasts, ["asset_id", "timestamp"], "left"), v.weather(t), "forecast_mw")
     limits = s.spike_thresholds(train_growth(t))
-    labelled = attach(s.with_growth(v.split(t)), limits, ["asset_id"], "inner").select(
+    labelled = attach(s.with_growth(v.split(t)), limits, ["asset_id"]).select(
         "asset_id", "timestamp", "split", s.spike_class(F.col("growth_pct"), F.col("moderate_growth_pct"), F.col("severe_growth_pct")).alias("spike_class")
     )
     frame = cut_lineage(rows.join(labelled, ["asset_id", "timestamp"]).where(F.col("historical_peak_24h").isNotNull()))

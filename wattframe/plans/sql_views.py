@@ -117,7 +117,7 @@ SQL_VIEWS: dict[str, str] = {
         FROM dispatch_rows GROUP BY scenario_id, plan_id""",
     "impossible_plans": """
         SELECT * FROM plans UNION ALL SELECT * REPLACE ('gaps' AS plan_id, 0.125 AS ev_shift_mw) FROM plans WHERE plan_id = 'mixed' AND period <> 2
-        UNION ALL SELECT * REPLACE ('drain' AS plan_id, CASE WHEN period = 1 THEN -3.0 ELSE charge_mw END AS charge_mw) FROM plans WHERE plan_id = 'store'
+        UNION ALL SELECT * REPLACE ('drain' AS plan_id, CASE WHEN period = 1 THEN -3.0 ELSE charge_mw END AS charge_mw, 0.0625 AS ind_shift_mw) FROM plans WHERE plan_id = 'store'
         UNION ALL SELECT * REPLACE ('beyond' AS plan_id, curtail_mw + 0.0625 AS curtail_mw) FROM plans WHERE plan_id = 'idle'
         UNION ALL SELECT * REPLACE ('beyond' AS plan_id, 7 AS period, 900.0 AS discharge_mw, 0.0 AS curtail_mw) FROM plans WHERE plan_id = 'idle' AND period = 0""",
     "partial_resources": """

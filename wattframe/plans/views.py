@@ -200,7 +200,7 @@ def impossible_plans(t: Tables) -> DataFrame:
     beyond = other("beyond", "idle").withColumn("curtail_mw", F.col("curtail_mw") + 0.0625)  # small differences, so no two plans of a scenario cost the same
     far = beyond.where("period = 0").withColumns({"period": F.lit(7).cast("long"), "discharge_mw": F.lit(900.0), "curtail_mw": F.lit(0.0)})
     gaps = other("gaps", "mixed").where("period <> 2").withColumn("ev_shift_mw", F.lit(0.125))
-    drain = other("drain", "store").withColumn("charge_mw", F.when(F.col("period") == 1, -3.0).otherwise(F.col("charge_mw")))
+    drain = other("drain", "store").withColumns({"charge_mw": F.when(F.col("period") == 1, -3.0).otherwise(F.col("charge_mw")), "ind_shift_mw": F.lit(0.0625)})
     return plans.unionByName(gaps).unionByName(drain).unionByName(beyond).unionByName(far)
 
 

@@ -109,9 +109,10 @@ def train_growth(t):
 @query("spike_label", f"""
     WITH {TRAIN_GROWTH}, a AS (SELECT *, (next_mw - demand_mw) / greatest(demand_mw, 0.10) * 100 AS growth_pct FROM growth)
     SELECT a.asset_id, a.timestamp, growth_pct, CASE WHEN growth_pct >= severe_growth_pct THEN 2 WHEN growth_pct >= moderate_growth_pct THEN 1 ELSE 0 END AS spike_class
-    FROM a JOIN th ON a.asset_id = th.asset_id""", ["growth_pct"])
+    FROM a LEFT JOIN th ON a.asset_id = th.asset_id""", ["growth_pct"])
 def spike_label(t):
-    rows = attach(s.with_growth(v.demand(t)), s.spike_thresholds(train_growth(t)), ["asset_id"], "inner")
+    """Labels of all rows; assets whose train part shows no growth have no thresholds and class 0."""
+    rows = attach(s.with_growth(v.demand(t)), s.spike_thresholds(train_growth(t)), ["asset_id"])
     label = s.spike_class(F.col("growth_pct"), F.col("moderate_growth_pct"), F.col("severe_growth_pct"))
     return rows.select("asset_id", "timestamp", "growth_pct", label.alias("spike_class"))
 
