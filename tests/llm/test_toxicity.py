@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -60,3 +61,43 @@ def test_a_repeated_id_is_learnt_once(spark, make_docs):
     assert training_rows(docs, table).count() == 6 and training_rows(docs, table, 3).count() == 3
     again = docs.unionByName(docs).repartition(5)
     assert sorted(map(str, training_rows(docs, table).collect())) == sorted(map(str, training_rows(again, table).collect()))
+
+
+def plain_features(text):
+    """Words, neighbours, triples, and pairs that skip one or two words, unhashed."""
+    w = text.lower().split()
+    grams = [(0, x) for x in w] + [(1, *p) for p in zip(w, w[1:])] + [(2, *p) for p in zip(w, w[2:])] + [(3, *p) for p in zip(w, w[1:], w[2:])] + [(4, *p) for p in zip(w, w[3:])]
+    return sorted(set(grams))
+
+
+def plain_ftrl(rows, epochs=3, alpha=1.0, beta=1.0, l1=6.0, l2=1.0):
+    """(text, label) in order; weights by feature, the bias under None."""
+    z, n = {}, {}
+
+    def weight(f):
+        held = abs(z.get(f, 0.0)) - l1
+        return 0.0 if held <= 0 else -math.copysign(held, z[f]) / ((beta + math.sqrt(n[f])) / alpha + l2)
+
+    for _ in range(epochs):
+        for text, label in rows:
+            found = [*plain_features(text), None]
+            w = {f: weight(f) for f in found}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for f in found:
+                old = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[f]
+                n[f] = old + g * g
+    return {f: weight(f) for f in z}
+
+
+def test_scores_equal_plain_dictionaries(spark, make_docs):
+    """The fitted scores against FTRL over unhashed features, in the order of the fit."""
+    rows, labels = corpus(300)
+    docs, table = make_docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    ordered = sorted(training_rows(docs, table).collect(), key=lambda r: r.place)
+    weights = plain_ftrl([(r.text, r.label) for r in ordered])
+    got = {r.doc_id: r.score for r in score_toxicity(docs, table).collect()}
+    assert sum(w != 0 for w in weights.values()) > 3
+    for i, text, _ in rows:
+        total = weights[None] + sum(weights.get(f, 0.0) for f in plain_features(text))
+        assert abs(got[i] - 1 / (1 + math.exp(-total))) < 1e-4
