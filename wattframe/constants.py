@@ -198,3 +198,6 @@ SCENARIOS = {
 BATTERY_MIN_MWH, BATTERY_MAX_MWH, BATTERY_CHARGE_MW, BATTERY_EFFICIENCY = 5.0, 50.0, 20.0, 0.90
 EV_DEMAND_MW, EV_FRACTION = 12.0, 0.40
 INDUSTRIAL_DEMAND_MW, INDUSTRIAL_FRACTION, INDUSTRIAL_CAP_MW = 28.0, 0.30, 12.0
+
+# Rows that a 48-hour block needs to be analysed.
+MIN_BLOCK_ROWS = 4

@@ -211,3 +211,11 @@ def in_blocks(df: DataFrame, ts: str = TS) -> DataFrame:
         F.when(overlaps, F.struct(previous.alias("block_start"), F.lit(False).alias("own_block"))),
     ))
     return df.withColumn("_b", F.explode(blocks)).select(*df.columns, "_b.block_start", "_b.own_block")
+
+
+def full_blocks(df: DataFrame, least: int = C.MIN_BLOCK_ROWS, keys: Sequence[str] = ASSET, ts: str = TS) -> DataFrame:
+    """Add `block_start`, the row's own block, and `full_block`: whether at least `least` rows feed it; smaller blocks are not analysed."""
+    members = in_blocks(df, ts)
+    sizes = members.groupBy(*keys, "block_start").agg(F.count(F.lit(1)).alias("_rows"))
+    own = members.where("own_block").drop("own_block")
+    return own.join(sizes, [*keys, "block_start"]).select(*df.columns, "block_start", (F.col("_rows") >= least).alias("full_block"))

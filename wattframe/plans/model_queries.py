@@ -196,7 +196,8 @@ def contribution_rows(t):
 @query("renewable_status")
 def renewable_status(t):
     """Performance, diagnosis, curtailment, forest and cause for all assets in one plan, anomalies only."""
-    found = cut_lineage(anomaly.detect_anomalies(g.apply_curtailment(flagged(t), "curtailed")))
+    found = g.full_blocks(anomaly.detect_anomalies(g.apply_curtailment(flagged(t), "curtailed")))
+    found = cut_lineage(found.where("full_block").drop("block_start", "full_block"))
     fitted, frame = deviation_models(t)
     keys = ["asset_id", "timestamp"]
     anomalous = found.where("anomaly")
@@ -209,6 +210,18 @@ def renewable_status(t):
     return explained.select(status_struct(cause=True).alias("s"), "diagnostic_category").select("s.*", "diagnostic_category")
 
 
+@query("full_blocks", f"""
+    WITH o AS (SELECT asset_id, timestamp, date_trunc('day', timestamp) - INTERVAL '1 day' * (CASE WHEN day(timestamp) % 2 = 0 THEN 1 ELSE 0 END) AS own FROM perf WHERE hour(timestamp) = 3),
+    m AS (SELECT asset_id, timestamp, own AS block_start, true AS mine FROM o UNION ALL
+        SELECT asset_id, timestamp, own - INTERVAL '1 day', false FROM o WHERE day(own) = 1 AND day(own - INTERVAL '1 day') % 2 = 1 AND timestamp < own + INTERVAL '1 day'),
+    c AS (SELECT asset_id, block_start, count(*) AS n FROM m GROUP BY 1, 2)
+    SELECT m.asset_id, timestamp, m.block_start::TIMESTAMP AS block_start, n >= {C.MIN_BLOCK_ROWS} AS full_block FROM m JOIN c ON m.asset_id = c.asset_id AND m.block_start = c.block_start WHERE mine""")
+def full_blocks(t):
+    """The rows of one hour of the night, so that some blocks are too small to be analysed."""
+    rows = v.perf(t).select("asset_id", "timestamp").where(F.hour("timestamp") == 3)
+    return g.full_blocks(rows)
+
+
 REREAD = ", ".join(f"CASE WHEN count(*) > 0 THEN 0.0 END AS off_{h}" for h in C.HORIZONS_MINUTES)
 
 
