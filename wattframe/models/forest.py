@@ -1,10 +1,9 @@
 """Isolation forest over many models at once.
 
-A model is a series, or a 48-hour block of one. Small groups are fitted and
-scored inside one vectorised task. A group too large for that is fitted on a
-bounded hash sample and its rows are scored in chunks, so no task ever holds
-the whole group. Sampling and seeds depend only on keys, never on the
-partitioning.
+A model is a series, or a 48-hour block of one. Each tree draws a bounded hash
+sample of all rows its model may learn from, so a fit is one small task; rows
+are scored in chunks, so no task ever holds a whole group. Sampling and seeds
+depend only on keys, never on the partitioning.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from __future__ import annotations
 import sys
 import zlib
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from wattframe import constants as C
 from wattframe.operators.quantiles import exact_percentiles
 from wattframe.operators.series import attach
+from wattframe.session import cut_lineage
 
 # The task functions below travel with the job, so executors need numpy and pandas but not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -114,12 +115,27 @@ def isolation_scores(
     `fit` marks the rows a model may learn from; with fewer than two of them
     the score is null. The cut is the contamination percentile of the fit scores.
     """
+    names, row_key = list(names), list(row_key)
+    sized = _sized(rows, model, fit)
+    raw = _scored(sized, _grown(sized, names, model, row_key, fit, trees, sample, seed), rows.columns, names, model, row_key, chunk_rows, seed)
+    joined = attach(raw, _cuts(raw, model, fit, contamination), [model])
+    return joined.select(*rows.columns, (F.col("anomaly_score") - F.col("_cut")).alias("anomaly_score"))
+
+
+def _sized(rows: DataFrame, model: str, fit: str | None) -> DataFrame:
+    """Rows with the size of their model, and with the number of rows it may learn from."""
+    learnt = [F.count_if(F.col(fit)).alias("_fit_rows")] if fit else []
+    return attach(rows, rows.groupBy(model).agg(F.count(F.lit(1)).alias("_rows"), *learnt), [model], "inner")
+
+
+def _cuts(raw: DataFrame, model: str, fit: str, contamination: float) -> DataFrame:
     if not 0.0 < contamination <= 0.5:
         raise ValueError("contamination must be above 0 and at most 0.5")
-    names, row_key = list(names), list(row_key)
-    sizes = rows.groupBy(model).agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.col(fit)).alias("_fit_rows"))
-    sized = attach(rows, sizes, [model], "inner")
-    columns = [f.name for f in rows.schema]
+    return exact_percentiles(raw.where(F.col(fit)), F.col("anomaly_score"), {"_cut": contamination}, [model])
+
+
+def _grown(sized: DataFrame, names: list[str], model: str, row_key: list[str], fit: str, trees: int, sample: int, seed: int) -> DataFrame:
+    """One forest per model with at least two rows to learn from."""
     # Every tree draws its own rows from all fit rows: those with the smallest hashes of row and tree. Twice the wanted share by threshold leaves a bounded group to rank.
     place = lambda tree: F.pmod(F.xxhash64(model, *row_key, F.lit(seed), tree), F.lit(2**40)) / F.lit(float(2**40))
     share = F.lit(2.0 * sample) / F.col("_fit_rows")
@@ -135,7 +151,11 @@ def isolation_scores(
         forest = grow(pdf[names].to_numpy(float), pdf["_tree"].to_numpy(), trees, _rng(pdf[model].iloc[0], seed))
         return pd.DataFrame([{model: pdf[model].iloc[0], **forest}])
 
-    forests = pool.groupBy(model).applyInPandas(fit_model, f"`{model}` {key_type}, {_FOREST}")
+    return pool.groupBy(model).applyInPandas(fit_model, f"`{model}` {key_type}, {_FOREST}")
+
+
+def _scored(sized: DataFrame, forests: DataFrame, columns: list[str], names: list[str], model: str, row_key: list[str], chunk_rows: int, seed: int) -> DataFrame:
+    """`columns` with the score before the cut; null where a model has no forest."""
     chunks = F.ceil(F.col("_rows") / chunk_rows)
     spread = sized.withColumn("_chunk", F.pmod(F.xxhash64(*row_key, F.lit(seed)), chunks))
     copies = sized.select(model, "_rows").distinct().withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
@@ -149,7 +169,32 @@ def isolation_scores(
         return left.assign(anomaly_score=score(left[names].to_numpy(float), right.iloc[0].to_dict()))
 
     raw = spread.groupBy(model, "_chunk").cogroup(forests.groupBy(model, "_chunk")).applyInPandas(score_chunk, out_schema)
-    raw = raw.withColumn("anomaly_score", F.nanvl("anomaly_score", F.lit(None)))
-    cut = exact_percentiles(raw.where(F.col(fit)), F.col("anomaly_score"), {"_cut": contamination}, [model])
-    joined = attach(raw, cut, [model])
-    return joined.select(*columns, (F.col("anomaly_score") - F.col("_cut")).alias("anomaly_score"))
+    return raw.withColumn("anomaly_score", F.nanvl("anomaly_score", F.lit(None)))
+
+
+@dataclass
+class Forests:
+    """Fitted forests and cuts of many models, to score later rows of the same models."""
+
+    forests: DataFrame
+    cuts: DataFrame
+    names: list[str]
+    model: str
+    seed: int = C.FOREST_SEED
+
+    def predict(self, rows: DataFrame, row_key: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+        """Add `anomaly_score`, as isolation_scores does; null for a model without a forest."""
+        raw = _scored(_sized(rows, self.model, None), self.forests, rows.columns, self.names, self.model, list(row_key), chunk_rows, self.seed)
+        return attach(raw, self.cuts, [self.model]).select(*rows.columns, (F.col("anomaly_score") - F.col("_cut")).alias("anomaly_score"))
+
+
+def forest_fit(
+    rows: DataFrame, names: Sequence[str], model: str, row_key: Sequence[str], fit: str = "fit",
+    trees: int = C.FOREST_TREES, sample: int = C.FOREST_SAMPLE, contamination: float = C.FOREST_CONTAMINATION, seed: int = C.FOREST_SEED,
+) -> Forests:
+    """The forests and cuts that isolation_scores would use, kept as two tables."""
+    names, row_key = list(names), list(row_key)
+    sized = _sized(rows, model, fit)
+    forests = cut_lineage(_grown(sized, names, model, row_key, fit, trees, sample, seed))
+    raw = _scored(sized, forests, rows.columns, names, model, row_key, CHUNK_ROWS, seed)
+    return Forests(forests, cut_lineage(_cuts(raw, model, fit, contamination)), names, model, seed)

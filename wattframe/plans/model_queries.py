@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wattframe import constants as C
-from wattframe.models import anomaly, boosted, hourly
+from wattframe.models import anomaly, boosted, hourly, store
 from wattframe.operators import diagnose as g
 from wattframe.operators import features as f
 from wattframe.operators import metrics as m
 from wattframe.operators import splits as s
-from wattframe.operators.series import attach
+from wattframe.operators.series import attach, epoch
 from wattframe.operators.snapshot import status_struct
 from wattframe.plans import views as v
 from wattframe.plans.diagnosis_queries import flagged
@@ -244,6 +246,47 @@ def model_artifacts(t):
     return off
 
 
+REGISTRY_ROUNDS = 4  # the query is about which version serves a row
+
+
+@query("model_versions", """
+    WITH b AS (SELECT CAST(epoch(min(timestamp)) AS BIGINT) AS a, CAST(epoch(max(timestamp)) AS BIGINT) AS z, min(asset_id) AS first FROM hourly),
+    x AS (SELECT asset_id, energy_type, asset_id = first AS own, epoch(timestamp) >= a + (z - a) // 4 AS v1, epoch(timestamp) >= a + (z - a) // 2 AS v2 FROM hourly, b)
+    SELECT asset_id, CASE WHEN v1 THEN CASE WHEN own THEN asset_id ELSE energy_type END END AS model_key, CASE WHEN v1 THEN CASE WHEN v2 AND NOT own THEN 'v2' ELSE 'v1' END END AS model_version,
+        count(*) AS rows, count(CASE WHEN v1 THEN 1 END) AS scored, CASE WHEN bool_or(v1) THEN 0.0 END AS off
+    FROM x GROUP BY 1, 2, 3""", ["off"])
+def model_versions(t):
+    """Per asset, the model that serves its hours: two versions for each pool, one for the first asset alone, one that was staged and never published.
+
+    `off` is the largest difference between the scores of loaded models and of those in memory.
+    """
+    frame = cut_lineage(f.hourly_feature_frame(v.hourly(t)))
+    ends = frame.agg(F.min(epoch("timestamp")), F.max(epoch("timestamp")), F.min("asset_id")).first()
+    stamp = lambda quarters: datetime.fromtimestamp(ends[0] + (ends[1] - ends[0]) * quarters // 4, timezone.utc)
+    known = lambda of, end: frame.where(of & (F.col("timestamp") < F.lit(end)) & F.col("actual_mw").isNotNull())
+    fit = lambda of, end: lambda: boosted.pooled_fit(known(of, end), f.HOURLY_FEATURES, "actual_mw", REGISTRY_ROUNDS, patience=1)
+    pool = lambda kind: F.col("energy_type") == kind
+    wanted = {(kind, f"v{q}"): fit(pool(kind), stamp(q)) for kind in ("solar", "wind") for q in (1, 2)} | {(ends[2], "v1"): fit(F.col("asset_id") == ends[2], stamp(1))}
+    fitted = boosted.fit_together(wanted)
+    root = work_folder(t.spark, "registry")
+    for q in (1, 2):
+        batch = {("generation", key): model for (key, version), model in fitted.items() if version == f"v{q}"}
+        store.publish(t.spark, store.stage(root, batch, f"v{q}", stamp(q)))
+    store.stage(root, {("generation", kind): fitted[kind, "v1"] for kind in ("solar", "wind")}, "v3", stamp(3))
+    published = store.manifest(t.spark, root)
+    keys = ["asset_id", "timestamp", "model_key", "model_version"]
+    scored = cut_lineage(store.predict_at_time(frame, published, "generation", "predicted"))
+    memory = None
+    for (key, version), model in fitted.items():
+        rows = scored.where((F.col("model_key") == key) & (F.col("model_version") == version)).drop("predicted")
+        part = model.predict(rows, "memory").select(*keys, "memory")
+        memory = part if memory is None else memory.unionByName(part)
+    both = scored.select(*keys, "predicted").join(memory.select("asset_id", "timestamp", "memory"), ["asset_id", "timestamp"], "left")
+    return both.groupBy("asset_id", "model_key", "model_version").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("predicted").alias("scored"), F.max(F.abs(F.col("predicted") - F.col("memory"))).alias("off")
+    )
+
+
 _HOURLY_READY = ", ".join([*[f"lag(actual_mw, {k}) OVER w AS lag_{k}" for k in C.HOURLY_LAGS], *[f"count(actual_mw) OVER (w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) = {n} AS full_{n}" for n in C.HOURLY_WINDOWS]])
 _HOURLY_COMPLETE = " AND ".join([*[f"lag_{k} IS NOT NULL" for k in C.HOURLY_LAGS], *[f"full_{n}" for n in C.HOURLY_WINDOWS]])
 
