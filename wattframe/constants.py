@@ -53,6 +53,21 @@ HOURLY_CAUSE_FEATURES = (
     "roll_mean_3", "roll_mean_24", "roll_mean_168",
 )
 HOURLY_CAUSE_MIN_EXPECTED_MW = 1e-3
+# Inputs of the quarter-hour cause models; one column per diagnosis of the learnt rows follows.
+_CAUSE_COMMON = (
+    "cloud_cover", "temperature_2m", "relative_humidity_2m", "surface_pressure",
+    "hour_of_day", "minute_of_day", "day_of_year", "month", "day_of_week", "is_weekend", "season",
+    "lag_1", "lag_2", "lag_4", "lag_8", "lag_96", "lag_192", "lag_672",
+    "roll_mean_4", "roll_mean_96", "roll_std_96", "anomaly",
+)
+CAUSE_INPUTS = {
+    "solar": (*_CAUSE_COMMON, "solar_elevation_deg", "cos_solar_zenith"),
+    "wind": (
+        *_CAUSE_COMMON, "wind_speed_10m", "wind_speed_cubed", "wind_direction_10m", "wind_dir_sin", "wind_dir_cos", "air_density_proxy",
+        "wind_speed_roll_mean_4", "wind_speed_roll_mean_96",
+    ),
+}
+CAUSE_MIN_ROWS = 10
 
 # Dutch public holidays of 2024.
 HOLIDAYS = {

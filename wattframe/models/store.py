@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattframe.models.boosted import DemandModels, Regression, SpikeModel, fit_together
+from wattframe.models.cause import CauseModel
 from wattframe.models.forest import Forests
 from wattframe.operators.series import attach
 from wattframe.session import cut_lineage
@@ -49,6 +50,9 @@ def _take_apart(model: object) -> Parts:
         return Parts({"model": model.model}, {"medians": model.medians}, {"names": model.names})
     if isinstance(model, SpikeModel):
         return Parts({f"c{i}": m for i, m in enumerate(model.models)}, {"medians": model.medians}, {"names": model.names, "classes": len(model.models)})
+    if isinstance(model, CauseModel):
+        inner = _take_apart(model.regression)
+        return Parts(inner.boosters, inner.tables, inner.details | {"categories": model.categories})
     if isinstance(model, Forests):
         return Parts({}, {"forests": model.forests, "cuts": model.cuts}, {"names": model.names, "model": model.model, "seed": model.seed})
     raise TypeError(f"no way to keep a {type(model).__name__}")
@@ -61,8 +65,9 @@ def load(spark: SparkSession, form: str, path: str, details: str) -> object:
     if form == "DemandModels":
         models = {h: GBTRegressionModel.load(f"{path}/h{h}") for h in known["horizons"]}
         return DemandModels(models, table("medians"), known["names"], {int(h): e for h, e in known["rmse"].items()})
-    if form == "Regression":
-        return Regression(GBTRegressionModel.load(f"{path}/model"), table("medians"), known["names"])
+    if form in ("Regression", "CauseModel"):
+        regression = Regression(GBTRegressionModel.load(f"{path}/model"), table("medians"), known["names"])
+        return CauseModel(regression, known["categories"]) if form == "CauseModel" else regression
     if form == "SpikeModel":
         return SpikeModel([GBTClassificationModel.load(f"{path}/c{i}") for i in range(known["classes"])], table("medians"), known["names"])
     if form == "Forests":

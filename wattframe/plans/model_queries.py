@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wattframe import constants as C
-from wattframe.models import anomaly, boosted, hourly, store
+from wattframe.models import anomaly, boosted, cause, hourly, store
 from wattframe.operators import diagnose as g
 from wattframe.operators import features as f
 from wattframe.operators import metrics as m
@@ -16,9 +16,10 @@ from wattframe.operators import splits as s
 from wattframe.operators.series import attach, epoch
 from wattframe.operators.snapshot import status_struct
 from wattframe.plans import views as v
-from wattframe.plans.diagnosis_queries import flagged
+from wattframe.plans.diagnosis_queries import CURTAILED, flagged
 from wattframe.plans.registry import query
-from wattframe.plans.window_queries import DEMAND_FRAME_SQL, LAG_NAMES, ROLL_NAMES, train_growth
+from wattframe.plans.scalar_queries import SUN
+from wattframe.plans.window_queries import CLOCK, DEMAND_FRAME_SQL, GEN_LAGS, GEN_ROLLS, GEN_WEATHER, LAG_NAMES, ROLL_NAMES, _guard, train_growth
 from wattframe.session import cut_lineage, work_folder
 
 
@@ -151,26 +152,46 @@ def spike_fit(t):
     return m.class_report(scored, ["series"], actual="spike_class", predicted="predicted_class")
 
 
-CAUSE_FEATURES = [
-    "cloud_cover", "temperature_2m", "relative_humidity_2m", "surface_pressure", "wind_speed_10m", "wind_direction_10m", "hour_of_day", "minute_of_day",
-    "day_of_week", "is_weekend", "lag_1", "lag_2", "lag_4", "lag_8", "lag_96", "roll_mean_4", "roll_mean_96", "roll_std_96",
-]
+CLOCK_NAMES = ("hour_of_day", "minute_of_day", "day_of_year", "month", "day_of_week", "is_weekend", "season")
+CAUSE_PLAIN = sorted({n for names in C.CAUSE_INPUTS.values() for n in names} - {"anomaly"})
 
 
-def cause_rows(t):
-    """Deviation rows with weather, clock and history inputs."""
-    from wattframe.functions.calendar import clock_columns
+def cause_frame(t, found):
+    return cause.cause_frame(found.withColumns({n: F.lit(x) for n, x in (("latitude", 52.1), ("longitude", 5.2))}), v.weather(t))
 
-    rows = v.diagnosis(t).drop("cloud_cover", "wind_speed_10m")
-    rows = f.gen_lags(rows.select("*", *clock_columns("timestamp")), "actual_mw")
-    return rows.join(v.weather(t), ["asset_id", "timestamp"], "left")
 
+@query("cause_inputs", f"""
+    WITH c AS ({CURTAILED}), o AS (SELECT c.asset_id, c.timestamp, c.timestamp AS ts, asset_type, diagnostic_category, actual_mw AS generation_mw, 52.1 AS lat, 5.2 AS lon,
+        {', '.join(f'w.{c}' for c in GEN_WEATHER)} FROM c LEFT JOIN weather w ON c.asset_id = w.asset_id AND c.timestamp = w.timestamp),
+    {SUN}, fr AS (SELECT asset_id, timestamp, asset_type, diagnostic_category, {CLOCK}, degrees(el) AS solar_elevation_deg, greatest(0.0, sin(el)) AS cos_solar_zenith, {GEN_LAGS}, {GEN_ROLLS},
+        {', '.join(GEN_WEATHER)}, {_guard('avg', 'wind_speed_10m', 4, 2)} AS wind_speed_roll_mean_4, {_guard('avg', 'wind_speed_10m', 96, 48)} AS wind_speed_roll_mean_96 FROM z),
+    derived AS (SELECT *, CASE WHEN month IN (12, 1, 2) THEN 0 WHEN month IN (3, 4, 5) THEN 1 WHEN month IN (6, 7, 8) THEN 2 ELSE 3 END AS season, wind_speed_10m ** 3 AS wind_speed_cubed,
+        sin(radians(wind_direction_10m)) AS wind_dir_sin, cos(radians(wind_direction_10m)) AS wind_dir_cos, surface_pressure / (temperature_2m + 273.15) AS air_density_proxy FROM fr)
+    SELECT asset_id, timestamp, asset_type, {', '.join(CAUSE_PLAIN)} FROM derived""", [n for n in CAUSE_PLAIN if n not in CLOCK_NAMES])
+def cause_inputs(t):
+    """Every input of the cause models of both types but the anomaly flag, for all rows."""
+    return cause_frame(t, g.apply_curtailment(flagged(t), "curtailed")).select("asset_id", "timestamp", "asset_type", *CAUSE_PLAIN)
 
-def deviation_models(t):
-    frame = cut_lineage(s.chronological_split(cause_rows(t)).where(F.col("percentage_deviation").isNotNull() & (F.col("expected_mw") > C.CAUSE_MIN_EXPECTED_MW)))
-    rows = lambda kind: frame.where((F.col("asset_type") == kind) & (F.col("split") == "train"))
-    fit = lambda kind: lambda: boosted.pooled_fit(rows(kind), CAUSE_FEATURES, "percentage_deviation", C.CAUSE_ROUNDS, depth=C.CAUSE_DEPTH)
-    return boosted.fit_together({kind: fit(kind) for kind in ("solar", "wind")}), frame
+
+@query("cause_report", f"""
+    WITH c AS ({CURTAILED}), f AS (SELECT * FROM c WHERE percentage_deviation IS NOT NULL AND expected_mw > {C.CAUSE_MIN_EXPECTED_MW}),
+    n AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY timestamp) AS pos, count(*) OVER (PARTITION BY asset_id) AS n FROM f),
+    p AS (SELECT *, CASE WHEN pos <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN pos <= floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'validation' ELSE 'test' END AS split FROM n),
+    a AS (SELECT asset_type, count(*) AS rows, count(CASE WHEN split = 'train' THEN 1 END) AS train_rows, count(CASE WHEN split = 'validation' THEN 1 END) AS validation_rows,
+        count(CASE WHEN split = 'test' THEN 1 END) AS test_rows, count(DISTINCT CASE WHEN split = 'train' THEN diagnostic_category END) AS k,
+        string_agg(DISTINCT CASE WHEN split = 'train' THEN diagnostic_category END, ',' ORDER BY CASE WHEN split = 'train' THEN diagnostic_category END) AS categories FROM p GROUP BY 1)
+    SELECT t.asset_type, rows, train_rows, validation_rows, test_rows, categories, CASE t.asset_type WHEN 'solar' THEN 24 + k WHEN 'wind' THEN 30 + k END AS inputs,
+        CASE WHEN t.asset_type = 'hydro' THEN 'unsupported asset type' END AS skipped FROM (SELECT DISTINCT asset_type FROM c) t JOIN a ON t.asset_type = a.asset_type""")
+def cause_report(t):
+    """What the cause model of each asset type would learn, or why there is none."""
+    rows = g.apply_curtailment(flagged(t), "curtailed")
+    return cause.cause_report(rows, cause.cause_rows(rows)).withColumn("categories", F.array_join("categories", ","))
+
+
+def deviation_models(t, found=None):
+    found = found if found is not None else anomaly.detect_anomalies(g.apply_curtailment(flagged(t), "curtailed"))
+    fitted, placed, _ = cause.cause_fits(cut_lineage(cause_frame(t, found)))
+    return fitted, placed
 
 
 @query("deviation_fit")
@@ -190,7 +211,7 @@ def contribution_rows(t):
     parts = []
     for kind, model in fitted.items():
         test = frame.where((F.col("asset_type") == kind) & (F.col("split") == "test"))
-        tall = boosted.contributions(model, test, ["asset_id", "timestamp"])
+        tall = model.contributions(test)
         parts.append(tall.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"), F.count(F.lit(1)).alias("rows")).withColumn("asset_type", F.lit(kind)))
     return parts[0].unionByName(parts[1])
 
@@ -198,15 +219,15 @@ def contribution_rows(t):
 @query("renewable_status")
 def renewable_status(t):
     """Performance, diagnosis, curtailment, forest and cause for all assets in one plan, anomalies only."""
-    found = g.full_blocks(anomaly.detect_anomalies(g.apply_curtailment(flagged(t), "curtailed")))
-    found = cut_lineage(found.where("full_block").drop("block_start", "full_block"))
-    fitted, frame = deviation_models(t)
+    found = cut_lineage(anomaly.detect_anomalies(g.apply_curtailment(flagged(t), "curtailed")))
+    fitted, frame = deviation_models(t, found)
+    found = cut_lineage(g.full_blocks(found).where("full_block").drop("block_start", "full_block"))
     keys = ["asset_id", "timestamp"]
     anomalous = found.where("anomaly")
     tall = None
     for kind, model in fitted.items():
         rows = frame.join(anomalous.where(F.col("asset_type") == kind).select(*keys), keys, "left_semi")
-        part = boosted.contributions(model, rows, keys)
+        part = model.contributions(rows, keys)
         tall = part if tall is None else tall.unionByName(part)
     explained = g.cause_category(anomalous, tall)
     return explained.select(status_struct(cause=True).alias("s"), "diagnostic_category").select("s.*", "diagnostic_category")
