@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import ordered, quarter
+from wattframe.models import forest
 from wattframe.models.anomaly import detect_anomalies
 from wattframe.models.forest import isolation_scores
 from wattframe.operators import diagnose as g
@@ -116,6 +117,32 @@ def test_forest_finds_outliers_in_one_or_several_chunks(spark, points, chunk_row
     assert len(out) == 3000 and (out[out.id % 500 == 0].anomaly_score < 0).all() and 40 <= (out.anomaly_score < 0).sum() <= 61
 
 
+def test_rows_travel_once_and_forests_stay_where_they_are_grown(spark):
+    """Trees draw by the places that Spark's xxhash64 gives; a short series sends its fit rows once, not once a tree, and a long one only what some tree draws."""
+    rows = spark.range(4000).select("id", F.when(F.col("id") < 40, "short").otherwise("long").alias("model"), (F.col("id") % 4 > 0).alias("fit"), (F.hash("id") % 1000 / 1000).alias("x"))
+    trees, sample, seed = 6, 8, 42
+    pool = forest._pool(forest._sized(rows, "model", "fit"), ["x"], "model", ["id"], "fit", trees, sample, seed)
+    found = {m: p.sort_values("id") for m, p in pool.toPandas().groupby("model")}
+    place = F.pmod(F.xxhash64("model", "id", F.lit(seed), F.col("tree")), F.lit(2**40)) / F.lit(float(2**40))
+    placed = rows.where("fit").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("place", place).toPandas()
+    assert len(found["short"]) == 30 and len(found["long"]) <= 4 * trees * sample
+    for model, p in found.items():
+        drawn, tree = forest.draw(p["_hash"].to_numpy(), int(p["_fit_rows"].iloc[0]), trees, sample)
+        for t in range(trees):
+            wanted = placed[(placed.model == model) & (placed.tree == t)].nsmallest(sample, "place")
+            assert set(p["id"].to_numpy()[drawn[tree == t]]) == set(wanted.id) and len(drawn[tree == t]) == sample
+    few = found["short"].head(5)
+    assert forest.draw(few["_hash"].to_numpy(), 5, 2, sample)[0].tolist() == [0, 1, 2, 3, 4] * 2
+
+
+def test_scores_are_those_of_the_kept_forests(spark):
+    rows = spark.range(1500).select("id", F.when(F.col("id") < 200, "short").otherwise("long").alias("model"), (F.col("id") % 4 > 0).alias("fit"), (F.hash("id") % 1000 / 1000).alias("x"), (F.hash(F.col("id") + 7) % 1000 / 1000).alias("y"))
+    once = isolation_scores(rows, ["x", "y"], "model", ["id"], trees=10, chunk_rows=300, keep=["id"])
+    kept = forest.forest_fit(rows, ["x", "y"], "model", ["id"], trees=10).predict(rows, ["id"])
+    assert once.columns == ["id", "anomaly_score"]
+    assert [tuple(r) for r in once.orderBy("id").collect()] == [tuple(r) for r in kept.select("id", "anomaly_score").orderBy("id").collect()]
+
+
 def test_forest_does_not_depend_on_partitions(points):
     one = isolation_scores(points.repartition(1), ["x", "y"], "model", ["id"], trees=20, chunk_rows=900).orderBy("id").collect()
     many = isolation_scores(points.repartition(7), ["x", "y"], "model", ["id"], trees=20, chunk_rows=900).orderBy("id").collect()

@@ -50,7 +50,7 @@ def detect_anomalies(
     keys = ["asset_id", "timestamp"]
     slim = cut_lineage(rows.select("_model", *keys, "fit", "own_block", *BLOCK_FEATURES))
     filled = impute(slim, impute_medians(slim.where("fit"), list(BLOCK_FEATURES), ["_model"]), list(BLOCK_FEATURES), ["_model"])
-    scored = isolation_scores(filled, list(BLOCK_FEATURES), "_model", keys, trees=trees, contamination=contamination)
+    scored = isolation_scores(filled, list(BLOCK_FEATURES), "_model", keys, trees=trees, contamination=contamination, keep=[*keys, "fit", "own_block"])
     own = scored.where("own_block").select(*keys, F.when(F.col("fit"), F.col("anomaly_score")).alias("anomaly_score"))
     return anomaly_policy(diagnosed.join(own, keys, "left"), suppress=suppress)
 
@@ -69,6 +69,6 @@ def hourly_anomalies(performance_rows: DataFrame, contamination: float = C.FORES
     slim = cut_lineage(featured.select("*", *cyclic_columns("timestamp", year_days=False)).select("asset_id", "timestamp", "energy_type", "fit", *HOURLY_FEATURES))
     names = list(HOURLY_FEATURES)
     filled = impute(slim, impute_medians(slim.where("fit"), names, ["asset_id"]), names, ["asset_id"])
-    scored = isolation_scores(filled, names, "asset_id", ["timestamp"], trees=trees, contamination=contamination)
+    scored = isolation_scores(filled, names, "asset_id", ["timestamp"], trees=trees, contamination=contamination, keep=["asset_id", "energy_type", "timestamp", "fit"])
     flag = F.when(~F.col("fit"), F.col("anomaly_score") < 0)
     return scored.select("asset_id", "energy_type", "timestamp", "fit", "anomaly_score", flag.alias("anomaly_flag"))

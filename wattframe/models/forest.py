@@ -2,21 +2,22 @@
 
 A model is a series, or a 48-hour block of one. Each tree draws a bounded hash
 sample of all rows its model may learn from, so a fit is one small task; rows
-are scored in chunks, so no task ever holds a whole group. Sampling and seeds
-depend only on keys, never on the partitioning.
+are scored in chunks, so no task ever holds a whole group. The rows that may be
+drawn travel to the chunks, once each, and the forest is grown there. Sampling
+and seeds depend only on keys, never on the partitioning.
 """
 
 from __future__ import annotations
 
 import sys
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattframe import constants as C
@@ -29,6 +30,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_ROWS = 500_000
 SCORE_ROWS = 16_384
+PLACES = 2**40
 _FOREST = "feature array<int>, threshold array<double>, child array<int>, depth array<double>, trees int, psi int"
 
 
@@ -108,18 +110,24 @@ def _rng(model: object, seed: int) -> np.random.Generator:
 def isolation_scores(
     rows: DataFrame, names: Sequence[str], model: str, row_key: Sequence[str], fit: str = "fit",
     trees: int = C.FOREST_TREES, sample: int = C.FOREST_SAMPLE, contamination: float = C.FOREST_CONTAMINATION, seed: int = C.FOREST_SEED,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS, keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add `anomaly_score` (below zero is unusual; not a probability) to complete, numeric rows.
+    """Add `anomaly_score` (below zero is unusual; not a probability) to complete, numeric rows, of which the columns `keep` (default: all) are returned.
 
     `fit` marks the rows a model may learn from; with fewer than two of them
     the score is null. The cut is the contamination percentile of the fit scores.
     """
     names, row_key = list(names), list(row_key)
+    keep = list(rows.columns if keep is None else keep)
     sized = _sized(rows, model, fit)
-    raw = _scored(sized, _grown(sized, names, model, row_key, fit, trees, sample, seed), rows.columns, names, model, row_key, chunk_rows, seed)
+    # Forests are grown where the rows are scored: the forest of a short series is far larger than its rows.
+    pool = _pool(sized, names, model, row_key, fit, trees, sample, seed)
+    pool = pool.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_rows") / chunk_rows) - 1)))
+    forest = lambda drawn: _forest(drawn, names, model, row_key, trees, sample, seed)
+    needed = list(dict.fromkeys([*keep, model, fit]))
+    raw = cut_lineage(_scored(sized, pool, forest, needed, names, model, row_key, chunk_rows, seed))
     joined = attach(raw, _cuts(raw, model, fit, contamination), [model])
-    return joined.select(*rows.columns, (F.col("anomaly_score") - F.col("_cut")).alias("anomaly_score"))
+    return joined.select(*keep, (F.col("anomaly_score") - F.col("_cut")).alias("anomaly_score"))
 
 
 def _sized(rows: DataFrame, model: str, fit: str | None) -> DataFrame:
@@ -134,41 +142,84 @@ def _cuts(raw: DataFrame, model: str, fit: str, contamination: float) -> DataFra
     return exact_percentiles(raw.where(F.col(fit)), F.col("anomaly_score"), {"_cut": contamination}, [model])
 
 
+def _pool(sized: DataFrame, names: list[str], model: str, row_key: list[str], fit: str, trees: int, sample: int, seed: int) -> DataFrame:
+    """The rows that some tree may draw, once each: all fit rows of a short series, of a long one about 2 * `sample` for every tree. `_hash` places a row for each tree."""
+    of_row = F.xxhash64(model, *row_key, F.lit(seed))
+    place = lambda tree: F.pmod(F.xxhash64(model, *row_key, F.lit(seed), tree), F.lit(PLACES)) / F.lit(float(PLACES))
+    share = F.lit(2.0 * sample) / F.col("_fit_rows")
+    drawn = (F.col("_fit_rows") <= 2 * sample) | F.exists(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: place(t) <= share)
+    pool = sized.where(F.col(fit) & (F.col("_fit_rows") >= 2) & drawn)
+    # Under names of its own, the pool can meet the rows it comes from.
+    return pool.select("_rows", "_fit_rows", of_row.alias("_hash"), *[F.col(c).alias(c) for c in dict.fromkeys([model, *row_key, *names])])
+
+
+def places(row: np.ndarray, tree: int) -> np.ndarray:
+    """Where in [0, 1) the rows with these hashes lie for a tree: XXH64 of the tree's number with the row's hash as seed, as xxhash64 chains its columns."""
+    one, two, three, five = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = (row.astype(np.int64).view(np.uint64) + five + np.uint64(4)) ^ (np.array([tree], np.uint64) * one)
+    h = (h << np.uint64(23) | h >> np.uint64(41)) * two + three
+    h = (h ^ h >> np.uint64(33)) * two
+    h = (h ^ h >> np.uint64(29)) * three
+    return ((h ^ h >> np.uint64(32)) % np.uint64(PLACES)).astype(float) / float(PLACES)
+
+
+def draw(row: np.ndarray, fit_rows: int, trees: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, trees): every tree draws the `sample` rows with the smallest places, or all if there are no more. Equal places stay in order."""
+    if fit_rows <= sample:
+        return np.tile(np.arange(len(row)), trees), np.repeat(np.arange(trees), len(row))
+    drawn = []
+    for tree in range(trees):
+        place = places(row, tree)
+        near = np.flatnonzero(place <= 2.0 * sample / fit_rows)
+        drawn.append(near[np.argsort(place[near], kind="stable")][:sample])
+    return np.concatenate(drawn), np.repeat(np.arange(trees), [len(d) for d in drawn])
+
+
+def _forest(pool: pd.DataFrame, names: list[str], model: str, row_key: list[str], trees: int, sample: int, seed: int) -> dict:
+    """The forest of one model from its rows of `_pool`."""
+    pool = pool.sort_values(row_key, kind="stable", na_position="first")
+    rows, tree = draw(pool["_hash"].to_numpy(), int(pool["_fit_rows"].iloc[0]), trees, sample)
+    return grow(pool[names].to_numpy(float)[rows], tree, trees, _rng(pool[model].iloc[0], seed))
+
+
 def _grown(sized: DataFrame, names: list[str], model: str, row_key: list[str], fit: str, trees: int, sample: int, seed: int) -> DataFrame:
     """One forest per model with at least two rows to learn from."""
-    # Every tree draws its own rows from all fit rows: those with the smallest hashes of row and tree. Twice the wanted share by threshold leaves a bounded group to rank.
-    place = lambda tree: F.pmod(F.xxhash64(model, *row_key, F.lit(seed), tree), F.lit(2**40)) / F.lit(float(2**40))
-    share = F.lit(2.0 * sample) / F.col("_fit_rows")
-    draws = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), place(t).alias("place"))), lambda d: d["place"] <= share)
-    pool = sized.where(F.col(fit) & (F.col("_fit_rows") >= 2)).withColumn("_draw", F.explode(draws))
-    rank = F.row_number().over(Window.partitionBy(model, "_draw.tree").orderBy("_draw.place", *row_key))
-    pool = pool.withColumn("_rank", rank).where(F.col("_rank") <= sample)
-    pool = pool.select(model, F.col("_draw.tree").alias("_tree"), "_rank", *[F.col(n) for n in names if n != model])
     key_type = dict(sized.dtypes)[model]
 
     def fit_model(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_tree", "_rank"], kind="stable")
-        forest = grow(pdf[names].to_numpy(float), pdf["_tree"].to_numpy(), trees, _rng(pdf[model].iloc[0], seed))
-        return pd.DataFrame([{model: pdf[model].iloc[0], **forest}])
+        return pd.DataFrame([{model: pdf[model].iloc[0], **_forest(pdf, names, model, row_key, trees, sample, seed)}])
 
+    pool = _pool(sized, names, model, row_key, fit, trees, sample, seed)
     return pool.groupBy(model).applyInPandas(fit_model, f"`{model}` {key_type}, {_FOREST}")
 
 
-def _scored(sized: DataFrame, forests: DataFrame, columns: list[str], names: list[str], model: str, row_key: list[str], chunk_rows: int, seed: int) -> DataFrame:
-    """`columns` with the score before the cut; null where a model has no forest."""
+def _copied(forests: DataFrame, sized: DataFrame, model: str, chunk_rows: int) -> DataFrame:
+    """A copy of each forest for every chunk of its model's rows."""
     chunks = F.ceil(F.col("_rows") / chunk_rows)
-    spread = sized.withColumn("_chunk", F.pmod(F.xxhash64(*row_key, F.lit(seed)), chunks))
     copies = sized.select(model, "_rows").distinct().withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    forests = forests.join(copies.select(model, "_chunk"), model)
+    return forests.join(copies.select(model, "_chunk"), model)
+
+
+def _first_row(forests: pd.DataFrame) -> dict:
+    return forests.iloc[0].to_dict()
+
+
+def _scored(
+    sized: DataFrame, source: DataFrame, forest: Callable[[pd.DataFrame], dict], columns: list[str], names: list[str], model: str, row_key: list[str], chunk_rows: int, seed: int
+) -> DataFrame:
+    """`columns` with the score before the cut; null where a model has no forest. `forest` makes one from the rows that `source` has for the model and chunk."""
+    spread = sized.withColumn("_chunk", F.pmod(F.xxhash64(*row_key, F.lit(seed)), F.ceil(F.col("_rows") / chunk_rows)))
+    spread = spread.select("_chunk", *dict.fromkeys([*columns, model, *names]))
     out_schema = ", ".join(f"`{c}` {t}" for c, t in sized.dtypes if c in columns) + ", anomaly_score double"
+    columns = [c for c in sized.columns if c in columns]
 
     def score_chunk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left[columns]
+        out = left[columns]
         if right.empty or left.empty:
-            return left.assign(anomaly_score=np.nan)
-        return left.assign(anomaly_score=score(left[names].to_numpy(float), right.iloc[0].to_dict()))
+            return out.assign(anomaly_score=np.nan)
+        return out.assign(anomaly_score=score(left[names].to_numpy(float), forest(right)))
 
-    raw = spread.groupBy(model, "_chunk").cogroup(forests.groupBy(model, "_chunk")).applyInPandas(score_chunk, out_schema)
+    raw = spread.groupBy(model, "_chunk").cogroup(source.groupBy(model, "_chunk")).applyInPandas(score_chunk, out_schema)
     return raw.withColumn("anomaly_score", F.nanvl("anomaly_score", F.lit(None)))
 
 
@@ -184,7 +235,8 @@ class Forests:
 
     def predict(self, rows: DataFrame, row_key: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         """Add `anomaly_score`, as isolation_scores does; null for a model without a forest."""
-        raw = _scored(_sized(rows, self.model, None), self.forests, rows.columns, self.names, self.model, list(row_key), chunk_rows, self.seed)
+        sized = _sized(rows, self.model, None)
+        raw = _scored(sized, _copied(self.forests, sized, self.model, chunk_rows), _first_row, rows.columns, self.names, self.model, list(row_key), chunk_rows, self.seed)
         return attach(raw, self.cuts, [self.model]).select(*rows.columns, (F.col("anomaly_score") - F.col("_cut")).alias("anomaly_score"))
 
 
@@ -196,5 +248,5 @@ def forest_fit(
     names, row_key = list(names), list(row_key)
     sized = _sized(rows, model, fit)
     forests = cut_lineage(_grown(sized, names, model, row_key, fit, trees, sample, seed))
-    raw = _scored(sized, forests, rows.columns, names, model, row_key, CHUNK_ROWS, seed)
-    return Forests(forests, cut_lineage(_cuts(raw, model, fit, contamination)), names, model, seed)
+    raw = _scored(sized, _copied(forests, sized, model, CHUNK_ROWS), _first_row, list(dict.fromkeys([model, fit])), names, model, row_key, CHUNK_ROWS, seed)
+    return Forests(forests, cut_lineage(_cuts(cut_lineage(raw), model, fit, contamination)), names, model, seed)
