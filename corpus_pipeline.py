@@ -21,6 +21,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints linked as in op10, but of five-word shingles, then MinHash bands for what lies further apart; every link is checked by exact Jaccard similarity."""
     return drop_similar_copies(docs)
 
 

@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from test_dedup import LOWER
 
@@ -66,6 +67,22 @@ def test_pipeline_stage_finds_what_brute_force_finds(make_docs):
     assert {r.doc_id for r in out.collect()} == wanted and len(wanted) < len(rows) - 75
 
 
+def test_pipeline_stage_goes_through_simhash(make_docs, monkeypatch):
+    """Without the bands the fingerprints of five-word shingles alone join light edits, and the exact check still parts what is linked but not similar."""
+    monkeypatch.setattr(jaccard, "bands", lambda hashes: np.empty(0, np.uint64))
+    rng = random.Random(14)
+    rows = []
+    for i in range(0, 60, 2):
+        base = [f"w{rng.randrange(3000)}" for _ in range(600)]
+        rows += [(i, " ".join(base), "a"), (i + 1, " ".join(edited(base, 1, rng)), "a")]
+    near = brute_jaccard([r[:2] for r in rows])
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    left = {r.doc_id for r in stage(None, make_docs(rows), "").collect()}
+    assert {c for _, c in near} == set(range(0, 60, 2)) and set(range(0, 60, 2)) <= left and len(left) < 36
+    monkeypatch.setattr(jaccard, "fingerprint", lambda text, words: 7)
+    assert {r.doc_id for r in stage(None, make_docs(rows[::2]), "").collect()} == set(range(0, 60, 2))
+
+
 def test_a_group_through_its_middle(make_docs):
     """Copies that are similar to one text but not to each other, among many that are not similar at all but share most words."""
     rng = random.Random(5)

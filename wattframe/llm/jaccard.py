@@ -1,4 +1,4 @@
-"""Near copies by the exact Jaccard similarity of their word shingles; MinHash bands find the pairs to check."""
+"""Near copies by the exact Jaccard similarity of their word shingles; SimHash fingerprints and MinHash bands find the pairs to check."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.llm.components import connected_components
+from wattframe.llm.simhash import fingerprint, link_fingerprints
 from wattframe.llm.text import fresh, mix, record_batches, texts_of, word_hashes, word_table
 from wattframe.session import cut_lineage
 
@@ -52,16 +53,18 @@ def _digest(hashes: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, key (of the text), digest and size of the set of shingles, its bands (none for an empty set); one row per row of `docs` (doc_id, text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("digest", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, key (of the text), digest and size of the set of shingles, its bands (none for an empty set), SimHash fingerprint of the shingles; one row per row of `docs` (doc_id, text)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("digest", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64())), ("fp", pa.int64())])
 
     def make(batch: pa.RecordBatch) -> list:
-        sets = [shingles(t, words) for t in texts_of(batch.column(2))]
+        texts = list(texts_of(batch.column(2)))
+        sets = [shingles(t, words) for t in texts]
         keys = [bands(s).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
-        return [batch.column(0), batch.column(1), [_digest(s) for s in sets], [len(s) for s in sets], keys]
+        fps = np.array([fingerprint(t, words) for t in texts], dtype=np.uint64)
+        return [batch.column(0), batch.column(1), [_digest(s) for s in sets], [len(s) for s in sets], keys, fps.view(np.int64)]
 
     picked = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    return picked.mapInArrow(lambda batches: record_batches(batches, make, schema), "doc_id long, key long, digest long, size long, bands array<long>")
+    return picked.mapInArrow(lambda batches: record_batches(batches, make, schema), "doc_id long, key long, digest long, size long, bands array<long>, fp long")
 
 
 def _sets(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
@@ -88,6 +91,16 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both / (F.size("x") + F.size("y") - both) >= similarity).select("a", "b")
 
 
+def sketch_pairs(marked: DataFrame) -> DataFrame:
+    """(a, b): sets whose fingerprints are linked within the distance of simhash.py, one link per fingerprint, and the sets of one fingerprint with the first of them."""
+    held = cut_lineage(marked.where("size > 0").select("fp", "digest").distinct())
+    first = held.groupBy("fp").agg(F.min("digest").alias("first"))
+    same = held.join(first, "fp").select(F.col("digest").alias("a"), F.col("first").alias("b"))
+    ends = [first.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}")) for c in ("a", "b")]
+    near = link_fingerprints(first.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return same.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def star_pairs(shared: DataFrame) -> DataFrame:
     """(a, b): every set of a bucket with the bucket's most typical one, that whose buckets hold most sets. `shared`: digest, bucket, n (sets of the bucket)."""
     score = shared.groupBy("digest").agg(F.sum("n").alias("score"))
@@ -126,19 +139,21 @@ def prefix_pairs(rooted: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
 
 def similar_sets(marked: DataFrame, docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of the digests in `marked` that are linked to another: the components of all pairs that share a band and have the similarity.
+    """(node, root) of the digests in `marked` that are linked to another: the components of all pairs that share a band or a linked fingerprint and have the similarity.
 
-    First every set is checked against the most typical one of each of its bands' buckets, which joins large groups by few pairs. The sets of buckets that still hold several components
-    are then joined exactly, by their rarest shingles.
+    First every set is checked against those that SimHash links it to, and against the most typical one of each of its bands' buckets, which joins large groups by few pairs. The sets of
+    buckets that still hold several components are then joined exactly, by their rarest shingles.
     """
     distinct = cut_lineage(marked.where("size > 0").groupBy("digest", "size", "bands").agg(F.min("key").alias("key")))
     rows = distinct.select("digest", "size", F.explode("bands").alias("bucket"))
     crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut_lineage(rows.join(crowded, "bucket"))
-    keys = distinct.join(shared.select("digest").distinct(), "digest", "left_semi").select("key")
+    sketched = cut_lineage(sketch_pairs(marked))
+    paired = shared.select("digest").union(sketched.select("a")).union(sketched.select("b")).distinct()
+    keys = distinct.join(paired, "digest", "left_semi").select("key")
     sets = cut_lineage(_sets(docs, keys, words))
 
-    stars = cut_lineage(star_pairs(shared))
+    stars = cut_lineage(sketched.unionByName(star_pairs(shared)).distinct())
     links = cut_lineage(_checked(stars, sets, similarity))
     nodes = connected_components(links)
     rooted = cut_lineage(shared.join(nodes, shared.digest == nodes.node, "left").select("bucket", "digest", "size", F.coalesce("root", "digest").alias("root")))
