@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import ordered, series
+from helpers import ordered, quarter, series
+from wattframe.operators import joins
 from wattframe.operators.quantiles import exact_percentiles, medians
 from wattframe.operators.series import Running, attach, dedup, grid, row_windows, running, time_windows
 
@@ -117,3 +118,13 @@ def test_no_window_sorts_a_whole_series(frames):
     plan = row_windows(df, lambda w: [F.lag("v", 4).over(w).alias("l")], before=4)._jdf.queryExecution().optimizedPlan().toString()
     specs = [line for line in plan.splitlines() if line.strip(" :+-").startswith("Window [") and "_chunk" not in line and "_bucket" not in line]
     assert not specs
+
+
+def test_merged_stamps_are_dealt_to_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", quarter(i)) for i in range(400)] + [("b", quarter(7))], "asset_id string, timestamp timestamp")
+    weather = spark.createDataFrame([("a", quarter(4 * h), float(h * h) if h % 3 else None) for h in range(2, 90)], "asset_id string, timestamp timestamp, t double")
+    whole = sorted(tuple(r) for r in joins.interp_join(rows, weather, ["t"]).select("asset_id", "timestamp", "t").where("t IS NOT NULL").collect())
+    monkeypatch.setattr(joins, "MERGED_ROWS", 40)
+    dealt = joins.interp_join(rows, weather, ["t"])
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert len(whole) > 300 and whole == sorted(tuple(r) for r in dealt.select("asset_id", "timestamp", "t").where("t IS NOT NULL").collect())

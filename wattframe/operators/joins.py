@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattframe import constants as C
-from wattframe.operators.series import ASSET, POSITION, TS, Running, dedup, epoch, positions, running
+from wattframe.operators.series import ASSET, DAY_SECONDS, POSITION, TS, Running, dedup, epoch, positions, running
+from wattframe.session import cut_lineage
+
+MERGED_ROWS = 250_000  # of a task that carries known values along merged stamps
 
 
 def one_per_stamp(weather: DataFrame, keys: Sequence[str], ts: str = TS, tie: str | None = None, keep: str = "first") -> DataFrame:
@@ -34,15 +37,18 @@ def interp_join(rows: DataFrame, weather: DataFrame, columns: Sequence[str], key
     Both grids are merged per asset and each stamp sees the known value at or
     before and at or after it. After the last known value it is held; before
     the first it is null. Of repeated weather stamps the first row counts.
+
+    Both grids are written once, then dealt by series and day to as many tasks
+    as their rows need, so what a task holds does not grow with the input.
     """
     keys = list(keys)
     weather = one_per_stamp(weather.select(*keys, ts, *columns, *([tie] if tie else [])), keys, ts, tie)
     stamps = rows.select(*keys, ts).withColumn("_row", F.lit(1))
-    merged = stamps.unionByName(weather.select(*keys, ts, *columns), allowMissingColumns=True).groupBy(*keys, ts).agg(
-        F.max("_row").alias("_row"), *[F.max(c).alias(c) for c in columns]
-    )
+    both = cut_lineage(stamps.unionByName(weather.select(*keys, ts, *columns), allowMissingColumns=True))
+    dealt = both.withColumn("_day", F.floor(epoch(ts) / DAY_SECONDS)).repartition(1 + both.count() // MERGED_ROWS, *keys, "_day")
+    merged = dealt.groupBy(*keys, "_day", ts).agg(F.max("_row").alias("_row"), *[F.max(c).alias(c) for c in columns])
     known = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), epoch(ts).alias("t")))
-    around = running(merged, [m for c in columns for m in (Running(f"_a_{c}", "last", known(c)), Running(f"_z_{c}", "next", known(c)))], keys, ts)
+    around = running(merged, [m for c in columns for m in (Running(f"_a_{c}", "last", known(c)), Running(f"_z_{c}", "next", known(c)))], keys, ts, F.col("_day"))
     now = epoch(ts)
 
     def between(c: str):
