@@ -77,6 +77,16 @@ def test_elias_fano(tmp_path):
         assert ((ef.find(asked) >= 0) == np.isin(asked, values)).all()
 
 
+def test_scores_sort_once_a_level(make_docs, monkeypatch):
+    docs = make_docs([(i, "the cat sat on the mat"[i % 5:], "a") for i in range(40)])
+    levels = ngram.build_trie(docs.select("text"))
+    sorts, unique = [], ngram._unique
+    monkeypatch.setattr(ngram, "_unique", lambda a: sorts.append(len(a)) or unique(a))
+    h = np.append(word_hashes(b"the cat sat on a mat", word_table()), ngram._END)
+    counts, _, total = ngram.Trie(levels).log10(h, np.array([0]))
+    assert len(sorts) == 3 and (counts > 0).tolist() == [True] * 4 + [False] + [True] * 2 and (total < 0).all()
+
+
 def test_word_hashes():
     table = word_table()
     assert len(word_hashes(b"", table)) == 0 and len(word_hashes(b" \n", table)) == 0

@@ -62,7 +62,7 @@ class EliasFano:
         at = i.astype(np.uint64) * _u(self.width)
         word, shift = (at >> _SIX).astype(np.int64), at & _LAST
         first = self.low[word] >> shift
-        second = np.where(shift > 0, self.low[word + 1] << (_u(64) - np.maximum(shift, _ONE)), _u(0))
+        second = self.low[word + 1] << _ONE << (_LAST - shift)  # in two steps: a shift by 64 is undefined
         return (first | second) & _u((1 << self.width) - 1)
 
     @staticmethod
@@ -97,15 +97,23 @@ class EliasFano:
         out[inside] = place - k
         return out
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Place of the first value >= x, n if there is none."""
-        x = np.asarray(x, dtype=np.uint64)
+    def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places at which the values with high parts h begin and end. The ones of a bucket follow its predecessor's zero, mostly in the same word."""
+        lo = self._bucket_ends(h - 1)
+        bit = lo + h
+        rest = ~self.high[bit >> 6] >> (bit & 63).astype(np.uint64)
+        hi = lo + np.bitwise_count((rest & (~rest + _ONE)) - _ONE)
+        far = np.flatnonzero(rest == 0)
+        hi[far] = self._bucket_ends(h[far])
+        return lo, hi
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which x have a bucket; of these the places of their successors, the ends of their buckets, and their low parts."""
         part = x >> _u(self.width)
         inside = part < _u(self.buckets)
-        out = np.full(len(x), self.n, dtype=np.int64)
-        h = part[inside].astype(np.int64)
         want = x[inside] & _u((1 << self.width) - 1)
-        lo, hi = self._bucket_ends(h - 1), self._bucket_ends(h)
+        lo, hi = self._bucket(part[inside].astype(np.int64))
+        end = hi.copy()
         active = np.flatnonzero(lo < hi)
         while len(active):
             middle = (lo[active] + hi[active]) >> 1
@@ -113,17 +121,24 @@ class EliasFano:
             lo[active[less]] = middle[less] + 1
             hi[active[~less]] = middle[~less]
             active = active[lo[active] < hi[active]]
-        out[inside] = lo
+        return inside, lo, end, want
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Place of the first value >= x, n if there is none."""
+        x = np.asarray(x, dtype=np.uint64)
+        inside, at, _, _ = self._search(x)
+        out = np.full(len(x), self.n, dtype=np.int64)
+        out[inside] = at
         return out
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of x, -1 where it does not occur."""
+        """Place of x, -1 where it does not occur. A successor within the bucket shares the high part, so the low parts decide."""
         x = np.asarray(x, dtype=np.uint64)
-        at = self.successor(x)
-        known = np.flatnonzero(at < self.n)
-        same = self.get(at[known]) == x[known]
+        inside, at, end, want = self._search(x)
+        same = at < end
+        same[same] = self._low(at[same]) == want[same]
         out = np.full(len(x), -1, dtype=np.int64)
-        out[known[same]] = at[known[same]]
+        out[inside] = np.where(same, at, -1)
         return out
 
 

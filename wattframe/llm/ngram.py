@@ -18,6 +18,7 @@ from wattframe.session import cut_lineage, work_folder
 ORDER = 3
 DISCOUNT = 0.75
 STEP = 1 / 4096  # of quantised log10 values
+NO_WEIGHT = 65535  # of parents without children: log10 of 0; that of others is above -16
 CHUNK_TOKENS = 1 << 20
 SHARD_TOKENS = 1 << 21
 MAX_SHARDS = 1 << 14
@@ -136,10 +137,8 @@ class Grams(Level):
             if self.bases[s + 1] == self.bases[s]:
                 continue
             arrays = _mapped(self.path(s))
-            local = parents[part] - s * self.parents_per_shard
-            ends = EliasFano(*arrays[5:10])
-            has = ends.get(local + 1) > ends.get(local)
-            out[part] = np.where(has, restore(arrays[11][local]), 0.0)
+            weight = arrays[11][parents[part] - s * self.parents_per_shard]
+            out[part] = np.where(weight < NO_WEIGHT, restore(weight), 0.0)
         return out
 
     def word_of(self, ids: np.ndarray) -> np.ndarray:
@@ -194,26 +193,39 @@ class Trie:
 
     def log10(self, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: its count, the add-half log10 probability, and the model's, interpolated over all orders."""
-        ids, counts = self.word_ids(hashes)
-        base = self.words.log10(counts)
+        different, inverse = _unique(hashes)
+        ids, counts = self.words.find(different)
+        base = self.words.log10(counts)[inverse]
+        ids, counts = ids[inverse], counts[inverse]
         total = base.copy()
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[starts] = self.words.nodes
-        context = before
+        context = np.empty_like(ids)
+        context[1:] = ids[:-1]
+        context[starts] = self.words.nodes
         for level, grams in enumerate(self.grams):
-            node, p = self.follow(level, context, ids)
-            known = np.flatnonzero(context >= 0)
-            parents, inverse = _unique(context[known])
-            total[known] += grams.backoff(parents)[inverse]
-            total = np.where(node >= 0, p, total)
+            node = self._interpolate(grams, context, ids, total)
             if level + 1 < len(self.grams):
-                # The next longer context of a token is what `follow` has just found for the token before it.
+                # The next longer context of a token is what the level has just found for the token before it.
                 context = np.empty_like(node)
                 context[1:] = node[:-1]
                 context[starts] = -1
         return counts, base, total
 
+    def _interpolate(self, grams: Grams, context: np.ndarray, ids: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Nodes of (context, word), -1 where there is none; `total` becomes their probability, or is lowered by the back-off weight of a known context. One sort serves both."""
+        node = np.full(len(context), -1, dtype=np.int64)
+        use = np.flatnonzero(context >= 0)
+        if len(use):
+            # An unknown word takes the number after the last word, which no context has as a child.
+            span = np.uint64(self.words.nodes + 1)
+            pair, inverse = _unique(context[use].astype(np.uint64) * span + np.where(ids[use] < 0, self.words.nodes, ids[use]).astype(np.uint64))
+            parents = pair // span
+            at, p = grams.find(parents.astype(np.int64), (pair - parents * span).astype(np.int64))
+            first = np.concatenate([[True], parents[1:] != parents[:-1]])
+            weight = grams.backoff(parents[first].astype(np.int64))[np.cumsum(first) - 1]
+            node[use] = at[inverse]
+            total[use] = np.where(node[use] >= 0, p[inverse], total[use] + weight[inverse])
+        return node
+
 
 def _planes(a: np.ndarray) -> bytes:
     """Bytes of unsigned values by significance, without empty planes."""
