@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,17 @@ def test_planted_driver_ranks_first(spark):
     fitted = pooled_fit(df, ["cloud_cover", "hour_of_day"], "percentage_deviation", iterations=5)
     mean = {r["feature"]: r["m"] for r in contributions(fitted, df, ["asset_id", "timestamp"]).groupBy("feature").agg(F.avg(F.abs("contribution")).alias("m")).collect()}
     assert mean["cloud_cover"] > 10 * mean["hour_of_day"]
+
+
+def test_ends_of_short_and_long_nodes():
+    """Least and largest ranks of nodes, and trees over equal values, whichever way the ends are found."""
+    rng = np.random.default_rng(4)
+    for counts in (np.array([40, 25, 31]), rng.integers(1, 9, 50), np.array([1, 1, 7, 1])):
+        starts = np.r_[0, counts.cumsum()[:-1]]
+        ranks = rng.integers(0, 200, (3, counts.sum())).astype(np.uint8)
+        low, high = forest.ends(ranks, starts, counts)
+        for i, (a, n) in enumerate(zip(starts, counts)):
+            assert (low[:, i] == ranks[:, a:a + n].min(1)).all() and (high[:, i] == ranks[:, a:a + n].max(1)).all()
+    x = np.array([[1.0, 2.0], [1.0, 3.0], [1.0, 3.0]])
+    made = forest.grow(x, np.tile(np.arange(3), 5), np.repeat(np.arange(5), 3), 5, np.random.default_rng(0))
+    assert set(made["feature"]) <= {0, 1} and all(2.0 <= t < 3.0 for t, c in zip(made["threshold"], made["child"]) if c >= 0) and (made["child"][:5] >= 0).all()

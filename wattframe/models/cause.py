@@ -16,6 +16,7 @@ from wattframe.models import boosted
 from wattframe.operators.features import gen_lags
 from wattframe.operators.reshape import one_hot
 from wattframe.operators.splits import chronological_split
+from wattframe.session import cut_lineage
 
 KEYS = ["asset_id", "timestamp"]
 CATEGORY = "diagnostic_category"
@@ -83,7 +84,7 @@ def cause_report(frame: DataFrame, placed: DataFrame, min_rows: int = C.CAUSE_MI
 
 def cause_fits(frame: DataFrame, min_rows: int = C.CAUSE_MIN_ROWS, iterations: int = C.CAUSE_ROUNDS) -> tuple[dict[str, CauseModel], DataFrame, DataFrame]:
     """Models by asset type, the placed rows, and the report. Which types have enough rows is decided by one aggregate over all of them."""
-    placed = cause_rows(frame)
+    placed = cut_lineage(cause_rows(frame))
     report = cause_report(frame, placed, min_rows)
     vocabulary = {r["asset_type"]: list(r["categories"]) for r in report.where("skipped IS NULL").collect()}
 

@@ -15,7 +15,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from wattframe.operators.quantiles import exact_percentiles
 from wattframe.operators.series import attach
 from wattframe.session import cut_lineage
 
-# The task functions below travel with the job, so executors need numpy and pandas but not this package.
+# The task functions below travel with the job, so executors need numpy and pyarrow but not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_ROWS = 500_000
@@ -41,27 +42,58 @@ def _average_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2.0 * (np.log(inner) + np.euler_gamma) - 2.0 * inner / np.maximum(n, 1.0), np.where(n == 2, 1.0, 0.0))
 
 
-def grow(x: np.ndarray, tree: np.ndarray, trees: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
-    """All trees level by level from the rows that each drew (`tree` per row). Node t is the root of tree t; the right child follows the left."""
-    rows, node = np.arange(len(x)), tree
-    psi = len(x) // trees
+def ends(ranks: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest rank (input, node) of the columns of each node, which lie side by side."""
+    if counts.mean() > 16:
+        return np.minimum.reduceat(ranks, starts, axis=1), np.maximum.reduceat(ranks, starts, axis=1)
+    # Many short nodes: the longest first, so that those with a further column are the first ones.
+    order = np.argsort(-counts, kind="stable")
+    starts, longer = starts[order], len(counts) - np.bincount(counts).cumsum()
+    low = np.take(ranks, starts, axis=1)
+    high = low.copy()
+    for j in range(1, len(longer) - 1):
+        n = longer[j]
+        column = np.take(ranks, starts[:n] + j, axis=1)
+        np.minimum(low[:, :n], column, out=low[:, :n])
+        np.maximum(high[:, :n], column, out=high[:, :n])
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return low[:, back], high[:, back]
+
+
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values (input, rank) in order, and the rank (input, row) of every value, in the narrowest type."""
+    found = [np.unique(column, return_inverse=True) for column in x.T]
+    size = max(len(values) for values, _ in found)
+    table = np.zeros((len(found), size))
+    for row, (values, _) in zip(table, found):
+        row[:len(values)] = values
+    return table, np.array([place for _, place in found]).astype(np.min_scalar_type(size - 1))
+
+
+def grow(x: np.ndarray, drawn: np.ndarray, tree: np.ndarray, trees: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """All trees level by level from the rows of `x` that each drew (`tree` per draw). Node t is the root of tree t; the right child follows the left."""
+    table, ranks = ranked(x)
+    rows, node = drawn, tree
+    psi = len(drawn) // trees
     limit = int(np.ceil(np.log2(max(psi, 2))))
     feature, threshold, child, depth = [], [], [], []
     first, level = 0, trees
     for d in range(limit + 1):
-        order = np.argsort(node, kind="stable")
+        # The numbers of a level's nodes are sorted in their narrowest type, which is far faster.
+        order = np.argsort((node - first).astype(np.min_scalar_type(level)), kind="stable")
         rows, node = rows[order], node[order]
         starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         counts = np.diff(np.r_[starts, len(node)])
-        values = x[rows]
-        low, high = np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
-        usable = high > low
+        low, high = ends(np.take(ranks, rows, axis=1), starts, counts)
+        usable = (high > low).T
         split = usable.any(axis=1) & (d < limit)
         pick = np.where(usable, rng.random(usable.shape), -1.0).argmax(axis=1)
         at = np.arange(len(starts))
-        cut = low[at, pick] + rng.random(len(starts)) * (high[at, pick] - low[at, pick])
+        low, high = table[pick, low[pick, at]], table[pick, high[pick, at]]
+        cut = low + rng.random(len(starts)) * (high - low)
         next_first = first + level
-        cut = np.where(cut < high[at, pick], cut, low[at, pick])  # rounding must not empty the right side
+        cut = np.where(cut < high, cut, low)  # rounding must not empty the right side
         kids = np.where(split, next_first + 2 * (np.cumsum(split) - 1), -1)
         feature.append(np.where(split, pick, 0))
         threshold.append(np.where(split, cut, 0.0))
@@ -175,22 +207,28 @@ def draw(row: np.ndarray, fit_rows: int, trees: int, sample: int) -> tuple[np.nd
     return np.concatenate(drawn), np.repeat(np.arange(trees), [len(d) for d in drawn])
 
 
-def _forest(pool: pd.DataFrame, names: list[str], model: str, row_key: list[str], trees: int, sample: int, seed: int) -> dict:
+def _matrix(rows: pa.Table, names: list[str]) -> np.ndarray:
+    return np.column_stack([rows[n].to_numpy().astype(float, copy=False) for n in names])
+
+
+def _forest(pool: pa.Table, names: list[str], model: str, row_key: list[str], trees: int, sample: int, seed: int) -> dict:
     """The forest of one model from its rows of `_pool`."""
-    pool = pool.sort_values(row_key, kind="stable", na_position="first")
-    rows, tree = draw(pool["_hash"].to_numpy(), int(pool["_fit_rows"].iloc[0]), trees, sample)
-    return grow(pool[names].to_numpy(float)[rows], tree, trees, _rng(pool[model].iloc[0], seed))
+    pool = pool.take(pc.sort_indices(pool, [(c, "ascending") for c in row_key], null_placement="at_start"))
+    rows, tree = draw(pool["_hash"].to_numpy(), pool["_fit_rows"][0].as_py(), trees, sample)
+    return grow(_matrix(pool, names), rows, tree, trees, _rng(pool[model][0].as_py(), seed))
 
 
 def _grown(sized: DataFrame, names: list[str], model: str, row_key: list[str], fit: str, trees: int, sample: int, seed: int) -> DataFrame:
     """One forest per model with at least two rows to learn from."""
     key_type = dict(sized.dtypes)[model]
 
-    def fit_model(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{model: pdf[model].iloc[0], **_forest(pdf, names, model, row_key, trees, sample, seed)}])
+    def fit_model(rows: pa.Table) -> pa.Table:
+        forest = _forest(rows, names, model, row_key, trees, sample, seed)
+        lists = {k: pa.array([v]) if isinstance(v, np.ndarray) else pa.array([v], pa.int32()) for k, v in forest.items()}
+        return pa.table({model: rows[model].slice(0, 1), **lists})
 
     pool = _pool(sized, names, model, row_key, fit, trees, sample, seed)
-    return pool.groupBy(model).applyInPandas(fit_model, f"`{model}` {key_type}, {_FOREST}")
+    return pool.groupBy(model).applyInArrow(fit_model, f"`{model}` {key_type}, {_FOREST}")
 
 
 def _copied(forests: DataFrame, sized: DataFrame, model: str, chunk_rows: int) -> DataFrame:
@@ -200,12 +238,12 @@ def _copied(forests: DataFrame, sized: DataFrame, model: str, chunk_rows: int) -
     return forests.join(copies.select(model, "_chunk"), model)
 
 
-def _first_row(forests: pd.DataFrame) -> dict:
-    return forests.iloc[0].to_dict()
+def _first_row(forests: pa.Table) -> dict:
+    return forests.slice(0, 1).to_pylist()[0]
 
 
 def _scored(
-    sized: DataFrame, source: DataFrame, forest: Callable[[pd.DataFrame], dict], columns: list[str], names: list[str], model: str, row_key: list[str], chunk_rows: int, seed: int
+    sized: DataFrame, source: DataFrame, forest: Callable[[pa.Table], dict], columns: list[str], names: list[str], model: str, row_key: list[str], chunk_rows: int, seed: int
 ) -> DataFrame:
     """`columns` with the score before the cut; null where a model has no forest. `forest` makes one from the rows that `source` has for the model and chunk."""
     spread = sized.withColumn("_chunk", F.pmod(F.xxhash64(*row_key, F.lit(seed)), F.ceil(F.col("_rows") / chunk_rows)))
@@ -213,13 +251,12 @@ def _scored(
     out_schema = ", ".join(f"`{c}` {t}" for c, t in sized.dtypes if c in columns) + ", anomaly_score double"
     columns = [c for c in sized.columns if c in columns]
 
-    def score_chunk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = left[columns]
-        if right.empty or left.empty:
-            return out.assign(anomaly_score=np.nan)
-        return out.assign(anomaly_score=score(left[names].to_numpy(float), forest(right)))
+    def score_chunk(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = right.num_rows == 0 or left.num_rows == 0
+        scores = np.full(left.num_rows, np.nan) if none else score(_matrix(left, names), forest(right))
+        return left.select(columns).append_column("anomaly_score", pa.array(scores))
 
-    raw = spread.groupBy(model, "_chunk").cogroup(source.groupBy(model, "_chunk")).applyInPandas(score_chunk, out_schema)
+    raw = spread.groupBy(model, "_chunk").cogroup(source.groupBy(model, "_chunk")).applyInArrow(score_chunk, out_schema)
     return raw.withColumn("anomaly_score", F.nanvl("anomaly_score", F.lit(None)))
 
 
