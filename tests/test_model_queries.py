@@ -11,6 +11,23 @@ from wattframe.models import boosted, cause
 from wattframe.plans import model_queries as q
 
 
+class Same:
+    """A model that gives back what it should find."""
+
+    def predict(self, rows, output, floor=None):
+        return rows.withColumn(output, F.col("actual_mw"))
+
+    def contributions(self, rows):
+        return rows.select(F.lit("x").alias("feature"), F.col("v").alias("contribution"))
+
+
+def test_contributions_cover_all_rows(spark, monkeypatch):
+    rows = [(kind, part, float(i)) for kind in ("solar", "wind") for i, part in enumerate(["train"] * 7 + ["validation"] * 2 + ["test"])]
+    frame = spark.createDataFrame(rows, "asset_type string, split string, v double")
+    monkeypatch.setattr(q, "deviation_models", lambda t: ({"solar": Same(), "wind": Same()}, frame))
+    assert sorted(tuple(r) for r in q.contribution_rows(None).select("asset_type", "rows", "mean_abs").collect()) == [("solar", 10, 4.5), ("wind", 10, 4.5)]
+
+
 @pytest.fixture(scope="module")
 def fitted(spark):
     """y follows x; z never changes, so no tree holds it."""

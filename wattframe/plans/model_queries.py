@@ -211,12 +211,11 @@ def deviation_fit(t):
 
 @query("contributions")
 def contribution_rows(t):
-    """Mean absolute contribution of each feature on the test rows."""
+    """Mean absolute contribution of each feature on all rows with a finite deviation."""
     fitted, frame = deviation_models(t)
     parts = []
     for kind, model in fitted.items():
-        test = frame.where((F.col("asset_type") == kind) & (F.col("split") == "test"))
-        tall = model.contributions(test)
+        tall = model.contributions(frame.where(F.col("asset_type") == kind))
         parts.append(tall.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"), F.count(F.lit(1)).alias("rows")).withColumn("asset_type", F.lit(kind)))
     return parts[0].unionByName(parts[1])
 
