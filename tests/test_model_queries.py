@@ -21,6 +21,14 @@ class Same:
         return rows.select(F.lit("x").alias("feature"), F.col("v").alias("contribution"))
 
 
+@pytest.fixture
+def hours(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(kind, quarter(4 * i), kind, 50 + rng.random(), 90.0) for kind in ("solar", "wind") for i in range(230)]
+    table = spark.createDataFrame(rows, "asset_id string, timestamp timestamp, energy_type string, actual_mw double, capacity_mw double")
+    monkeypatch.setattr(q.v, "hourly", lambda t: table)
+
+
 def test_contributions_cover_all_rows(spark, monkeypatch):
     rows = [(kind, part, float(i)) for kind in ("solar", "wind") for i, part in enumerate(["train"] * 7 + ["validation"] * 2 + ["test"])]
     frame = spark.createDataFrame(rows, "asset_type string, split string, v double")
@@ -28,6 +36,12 @@ def test_contributions_cover_all_rows(spark, monkeypatch):
     assert sorted(tuple(r) for r in q.contribution_rows(None).select("asset_type", "rows", "mean_abs").collect()) == [("solar", 10, 4.5), ("wind", 10, 4.5)]
 
 
+def test_hourly_fits_get_all_their_rounds(hours, monkeypatch):
+    seen = []
+    monkeypatch.setattr(boosted, "pooled_fit", lambda rows, names, label, iterations, *a, **k: seen.append(iterations) or Same())
+    assert q.generation_fit(None).count() == 2 and seen == [C.HOURLY_ROUNDS] * 2
+
+
 @pytest.fixture(scope="module")
 def fitted(spark):
     """y follows x; z never changes, so no tree holds it."""

@@ -42,12 +42,12 @@ def demand_forecast_fit(t):
 
 @query("generation_fit")
 def generation_fit(t):
-    """Pooled solar and wind regressors with absolute loss, of at most QUERY_ROUNDS trees, scored on the last fifth of each series."""
+    """Pooled solar and wind regressors with absolute loss, scored on the last fifth of each series."""
     hourly = s.holdout_split(f.hourly_feature_frame(v.hourly(t)).na.drop(subset=["lag_168", "roll_mean_168"]))
     frame = cut_lineage(hourly)
     names = [*f.HOURLY_FEATURES, "lagged_generation_ratio", "capacity_available"]
     rows = lambda kind, part: frame.where((F.col("energy_type") == kind) & (F.col("split") == part))
-    fit = lambda kind: lambda: boosted.pooled_fit(rows(kind, "train"), names, "actual_mw", QUERY_ROUNDS, "absolute", patience=C.HOURLY_PATIENCE)
+    fit = lambda kind: lambda: boosted.pooled_fit(rows(kind, "train"), names, "actual_mw", C.HOURLY_ROUNDS, "absolute", patience=C.HOURLY_PATIENCE)
     fitted = boosted.fit_together({kind: fit(kind) for kind in C.MAPE_RULES if kind != "hourly"})
     parts = []
     for kind, model in fitted.items():
