@@ -40,6 +40,11 @@ def test_hourly_fits_get_all_their_rounds(hours, monkeypatch):
     seen = []
     monkeypatch.setattr(boosted, "pooled_fit", lambda rows, names, label, iterations, *a, **k: seen.append(iterations) or Same())
     assert q.generation_fit(None).count() == 2 and seen == [C.HOURLY_ROUNDS] * 2
+    seen.clear()
+    monkeypatch.setattr(q.hourly, "hourly_deviation_fits", lambda *a: [][0])  # only the expectations are asked for
+    with pytest.raises(IndexError):
+        q.hourly_status(None)
+    assert len(seen) == 2 and set(seen) == {C.HOURLY_ROUNDS}
 
 
 @pytest.fixture(scope="module")

@@ -23,9 +23,6 @@ from wattframe.plans.window_queries import CLOCK, DEMAND_FRAME_SQL, GEN_LAGS, GE
 from wattframe.session import cut_lineage, work_folder
 
 
-QUERY_ROUNDS = 120  # of the hourly fits in queries; the models' own limit is C.HOURLY_ROUNDS
-
-
 def demand_models(t):
     return boosted.demand_forecast_fit(f.demand_feature_frame(v.demand(t), v.weather(t)))
 
@@ -327,7 +324,7 @@ _HOURLY_COMPLETE = " AND ".join([*[f"lag_{k} IS NOT NULL" for k in C.HOURLY_LAGS
     FROM x LEFT JOIN a ON x.asset_id = a.asset_id AND x.timestamp = a.timestamp GROUP BY 1, 2""")
 def hourly_status(t):
     """The whole chain over all hours; per series: hours, those with an expectation, those evaluated, and those that break a rule of the status."""
-    status = hourly.hourly_status(v.hourly(t), iterations=QUERY_ROUNDS // 2)
+    status = hourly.hourly_status(v.hourly(t))
     known = F.col("root_cause") != hourly.NO_EVIDENCE
     return status.groupBy("asset_id", "energy_type").agg(
         F.count(F.lit(1)).alias("rows"), F.count("expected_mw").alias("expected_rows"), F.count("anomaly_flag").alias("evaluated_rows"),
