@@ -128,3 +128,17 @@ def test_merged_stamps_are_dealt_to_as_many_tasks_as_their_rows_need(spark, monk
     dealt = joins.interp_join(rows, weather, ["t"])
     assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
     assert len(whole) > 300 and whole == sorted(tuple(r) for r in dealt.select("asset_id", "timestamp", "t").where("t IS NOT NULL").collect())
+
+
+@pytest.mark.parametrize("accuracy", [100_000, 100])
+def test_medians_of_the_whole_table_stay_side_by_side(spark, monkeypatch, accuracy):
+    """The medians of single groups, though no value outside a bracket becomes a row."""
+    from wattframe.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", accuracy)
+    df = spark.range(3000).select((F.hash("id") % 1000).cast("double").alias("a"), F.when(F.col("id") % 3 > 0, F.hash(F.col("id") + 1) / 7).alias("b"), F.lit(None).cast("double").alias("none"), F.lit(4).alias("same"))
+    names = df.columns
+    grouped = {r.feature: r.median for r in medians(df.withColumn("k", F.lit(1)), names, ["k"]).collect()}
+    monkeypatch.setattr(quantiles, "exact_percentiles", lambda *a, **k: pytest.fail("every value became a row"))
+    assert {r.feature: r.median for r in medians(df, names).collect()} == grouped and len(grouped) == 3
+    assert medians(df.limit(0), names).count() == 0
