@@ -181,3 +181,10 @@ def test_ends_of_short_and_long_nodes():
     x = np.array([[1.0, 2.0], [1.0, 3.0], [1.0, 3.0]])
     made = forest.grow(x, np.tile(np.arange(3), 5), np.repeat(np.arange(5), 3), 5, np.random.default_rng(0))
     assert set(made["feature"]) <= {0, 1} and all(2.0 <= t < 3.0 for t, c in zip(made["threshold"], made["child"]) if c >= 0) and (made["child"][:5] >= 0).all()
+
+
+def test_forests_are_dealt_to_as_many_tasks_whatever_their_size(spark, points):
+    """Small tables are not merged into a task or two: growing forests takes far longer than reading their rows."""
+    raw = isolation_scores(points.withColumn("model", F.pmod("id", F.lit(40)).cast("string")), ["x", "y"], "model", ["id"], trees=5)
+    written = [f for f in raw.inputFiles() if "wattframe-" in f]
+    assert raw.count() == 3000 and len(set(written)) >= 16

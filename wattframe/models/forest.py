@@ -31,6 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_ROWS = 500_000
 SCORE_ROWS = 16_384
+TASKS_A_SLOT = 4
 PLACES = 2**40
 _FOREST = "feature array<int>, threshold array<double>, child array<int>, depth array<double>, trees int, psi int"
 
@@ -256,7 +257,11 @@ def _scored(
         scores = np.full(left.num_rows, np.nan) if none else score(_matrix(left, names), forest(right))
         return left.select(columns).append_column("anomaly_score", pa.array(scores))
 
-    raw = spread.groupBy(model, "_chunk").cogroup(source.groupBy(model, "_chunk")).applyInArrow(score_chunk, out_schema)
+    # Few bytes are much work here, so tasks are counted rather than merged by their size.
+    spark = sized.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_SLOT * spark.sparkContext.defaultParallelism)
+    dealt = lambda rows: rows.repartition(tasks, model, "_chunk").groupBy(model, "_chunk")
+    raw = dealt(spread).cogroup(dealt(source)).applyInArrow(score_chunk, out_schema)
     return raw.withColumn("anomaly_score", F.nanvl("anomaly_score", F.lit(None)))
 
 
